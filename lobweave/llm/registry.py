@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, suffix_dedup
+from . import bpe, exact_dedup, jaccard_join, packing, suffix_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        packing.op3_sum_of_squares_packing,
+        bpe.op5_byte_bpe,
         exact_dedup.op6_exact_dedup,
         jaccard_join.op7_ngram_jaccard_join,
         suffix_dedup.op10_suffix_array_dedup,
     )
 }
-SQL = {name: sql for module in (exact_dedup, jaccard_join, suffix_dedup) for name, sql in module.SQL.items()}
+SQL = {name: sql for module in (packing, bpe, exact_dedup, jaccard_join, suffix_dedup) for name, sql in module.SQL.items()}
