@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, packing, suffix_dedup
+from . import bpe, exact_dedup, jaccard_join, packing, sentence_dedup, suffix_dedup
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,8 @@ QUERIES = {
         bpe.op5_byte_bpe,
         exact_dedup.op6_exact_dedup,
         jaccard_join.op7_ngram_jaccard_join,
+        sentence_dedup.op9_sentence_span_dedup,
         suffix_dedup.op10_suffix_array_dedup,
     )
 }
-SQL = {name: sql for module in (packing, bpe, exact_dedup, jaccard_join, suffix_dedup) for name, sql in module.SQL.items()}
+SQL = {name: sql for module in (packing, bpe, exact_dedup, jaccard_join, sentence_dedup, suffix_dedup) for name, sql in module.SQL.items()}
