@@ -4,21 +4,20 @@ A document's set is hashed into groups; the counts of its groups are a point.
 The overlap of two sets is at most the sum of the coordinates' minima, so pairs
 that link lie close together in the sum of absolute differences.
 
-* Routing: two sets that link differ in at most D shingles, where D follows from
-  their sizes. The groups of a set are cut into more than D blocks; sets that
-  link agree in a whole block, and a block's content is the key of a cell. Cells
-  with few shingles say little; a slack of extra blocks makes them dispensable,
-  and a set with more of them than the slack allows sends all of its blocks, so
-  no link is lost. One row of 16 bytes for each block is shuffled, with equal
-  cells of one input partition sent once.
-* Sets that share cells form clusters. A cluster's points are indexed in an
-  R-tree whose nodes keep the upper corner of their counts and the range of their
-  sizes; a search drops nodes by the summed minima of the query and the corner.
-  Surviving pairs are verified on the shingles.
+* Routing: sets that link share one of the first n - ceil(t n) + 1 shingles of
+  each in any order common to all. The order is that of the hashes, with the most
+  frequent shingles last (those in many documents of some stretch of the input,
+  a bounded list that moves work and no result). Documents that share such a
+  shingle are a cell.
+* The points of a cell's members are packed into an R-tree whose nodes keep the
+  upper corner of the counts and the range of the sizes; a search drops nodes by
+  the summed minima of the query and the corner. Pairs that survive join clusters.
+* Surviving pairs are verified on the shingles, cluster by cluster and again
+  through an R-tree.
 * A cluster too large for one task is split into blocks of rows. Rounds of
   pivots, each round a bounded R-tree against every block, go on until every
   document outside the largest component has been a pivot, which compares all
-  that could still be joined.
+  that could still be joined. A cell too large for one task becomes one cluster.
 
 Equal sets are one class and travel once. Components, not pairs, are returned:
 pairs inside a component already known are skipped.
@@ -35,7 +34,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -43,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, PACKED, by_bucket, components, dealt, dropped, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
+from .common import NO_ID, PACKED, by_bucket, components, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
 DOC, CLASS, CELL, EDGE = 0, 1, 2, 3  # kinds of packed rows
-GROUPS, FANOUT = 64, 16
+GROUPS, FANOUT = 256, 16
 LARGE = 8_000_000  # shingles in one task's cluster
+CELL_MOST = 100_000  # members of a cell that one task indexes
 PIVOTS = 256  # of each large cluster in a round
+STRETCH, SHARE, FREQUENT = 1_000_000, 0.002, 100_000  # shingles of a stretch, of its documents that make a shingle frequent, frequent shingles kept
 _CACHED_WORDS = 400_000
 
 
@@ -88,43 +88,18 @@ def set_id(shingles: np.ndarray) -> np.int64:
     return mixed(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0]
 
 
-@lru_cache(100_000)
-def size_tags(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
-    """(tag, most differing shingles) of the size ranges whose pairs a set of n shingles can be in.
-
-    Ranges grow by half; a pair lies in one range, or in two neighbouring ones
-    and then close to their border, which has a tag of its own.
-    """
-    low, k = 1, 0
-    while (high := max(low + 1, low * 3 // 2, -(-low * den // num) + 1)) <= n:
-        low, k = high, k + 1
-    differ = lambda total: (den - num) * total // (den + num)
-    out = [(2 * k, differ(2 * (high - 1)))]
-    if low > 1 and n * num <= (low - 1) * den:
-        out.append((2 * k - 1, differ(low - 1 + (low - 1) * den // num)))
-    if n * den >= high * num:
-        out.append((2 * k + 1, differ(high - 1 + (high - 1) * den // num)))
-    return tuple(x for x in out if x[1] > 0)  # sets that must be equal are one class already
-
-
-def cells(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the cells that the blocks of a set fall into."""
+def prefix(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of which one is shared with every set that links: sorted ones, frequent ones last."""
     n = len(shingles)
-    load = (den + num) / (2 * (den - num))
-    share = 1.5 * np.exp(-load) * (1 + load) + 0.01
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles ^ np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64)])
-    high = shingles >> np.uint64(32)
-    keys = []
-    for tag, differ in size_tags(n, num, den):
-        slack = int(np.ceil(share * (differ + 1)))
-        blocks = differ + 1 + slack
-        starts = np.searchsorted(high * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64))
-        count = np.diff(starts)
-        block = np.arange(blocks, dtype=np.uint64)
-        key = mixed(sums[starts[1:]] - sums[starts[:-1]] + (block * np.uint64(4096) + np.uint64(tag + 1)) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-        strong = count > 1
-        keys.append(key[strong] if blocks - strong.sum() <= slack else key)
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    length = n + (-num * n) // den + 1
+    if length == 1 and n * (den - num) < num:
+        return shingles[:0]  # only an equal set can link, and those are one class already
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        often = frequent[at] == shingles
+        if often[:length].any():
+            shingles = np.concatenate([shingles[~often], shingles[often]])
+    return shingles[:length]
 
 
 class CountTree:
@@ -173,8 +148,8 @@ class CountTree:
     @staticmethod
     def _may(corner, least, most, point, size, num, den) -> np.ndarray:
         small = np.maximum(least, -(-num * size // den))
-        bound = np.minimum(corner, point).sum(axis=1)
-        return (small <= most) & (least * num <= size * den) & (bound * (num + den) >= num * (size + small))
+        bound = np.minimum(corner, point).sum(axis=1, dtype=np.int64)
+        return (small <= most) & (least * num <= size * den) & ((bound * (num + den) >= num * (size + small)) | _saturated(most))
 
 
 def counts_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,102 +159,180 @@ def counts_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(rows * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
 
 
+def _saturated(size) -> np.ndarray:
+    """Sizes whose counts a stored point may cut short: the bound says nothing of them."""
+    return np.asarray(size) > 65535
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     both = np.sort(np.concatenate([a, b]), kind="stable")
     inter = int((both[1:] == both[:-1]).sum())
     return den * inter >= num * (len(a) + len(b) - inter)
 
 
-def link_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """The component of each set, as the index of one of its members."""
-    label = np.arange(len(sets))
-    if len(sets) == 2:
-        if linked(*sets, num, den):
-            label[1] = 0
-        return label
-    points, sizes = counts_of(sets), np.array([len(s) for s in sets])
+def spanned(points: np.ndarray, sizes: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """The component of each point, as the index of a member: under the bound alone, or verified on sets.
+
+    Goes on until every point outside the largest component has been a query, so
+    every pair that isn't joined already is seen from one side.
+    """
+    n = len(sizes)
+    label, size_of, done = np.arange(n), np.ones(n, np.int64), np.zeros(n, bool)
     tree = CountTree(points, sizes)
-    for i in range(len(sets)):
-        near = tree.search(points[i], sizes[i], num, den)
-        near = near[label[near] != label[i]]
-        while len(near):
-            j = near[0]
-            if linked(sets[i], sets[j], num, den):
-                label[label == label[j]] = label[i]
-                near = near[1:]
-                near = near[label[near] != label[i]]
-            else:
-                near = near[1:]
+    while len(open_ := np.flatnonzero(~done & (label != size_of.argmax()))):
+        for at in open_:
+            if size_of[label[at]] > 1 and label[at] == size_of.argmax():
+                continue
+            done[at] = True
+            near = tree.search(points[at], sizes[at], num, den)
+            near = near[label[near] != label[at]]
+            while len(near):
+                if sets is not None and not linked(sets[at], sets[near[0]], num, den):
+                    near = near[1:]
+                    continue
+                old, mine = np.unique(label[near] if sets is None else label[near[:1]]), label[at]
+                label[np.isin(label, old)] = mine
+                size_of[mine] += size_of[old].sum()
+                size_of[old] = 0
+                near = near[label[near] != mine]
     return label
 
 
-def _route(words: int, num: int, den: int, buckets: int):
+def _bounded(num: int, den: int):
+    """Edges that span what the bound leaves of each cell; rows: token, sid, n, point."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        token, sid, size = (np.concatenate([b[c].to_numpy() for b in batches]) for c in ("token", "sid", "n"))
+        blob = [x.as_buffer() for b in batches for x in b["point"]]
+        points = np.frombuffer(b"".join(blob), np.uint16).reshape(-1, GROUPS)
+        order = np.lexsort((sid, token))
+        cuts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1], [True]]))
+        width = np.diff(cuts)
+        edges = []
+        for m in range(2, FANOUT + 1):  # cells of one leaf, all of a width together
+            first = cuts[:-1][width == m]
+            left, right = np.triu_indices(m, 1)
+            pairs = np.stack([(first[:, None] + left).ravel(), (first[:, None] + right).ravel()], axis=1)
+            for at in range(0, len(pairs), 8192):
+                a, b = order[pairs[at : at + 8192].T]
+                may = CountTree._may(points[b], size[b], size[b], points[a], size[a], num, den)
+                edges.append(np.stack([sid[a[may]], sid[b[may]]], axis=1))
+        for first, last in zip(cuts[:-1][width > FANOUT], cuts[1:][width > FANOUT]):
+            ids = order[first:last]
+            label = spanned(points[ids], size[ids], num, den)
+            moved = label != np.arange(len(ids))
+            edges.append(np.stack([sid[ids[moved]], sid[ids[label[moved]]]], axis=1))
+        both = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return join
+
+
+def _frequent(words: int):
+    """Shingles that many documents of a stretch of the input have, with their number there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, total = Shingler(words), [], 0
+
+        def flush() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= max(3, SHARE * len(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
+
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                held.append(shingler(text))
+                total += len(held[-1])
+                if total > STRETCH:
+                    yield flush()
+                    total = 0
+        if held:
+            yield flush()
+
+    return count
+
+
+def _route(words: int, num: int, den: int, buckets: int, frequent):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shingler = part_id(), Shingler(words)
-        docs, keys, sids = [], [], []
-        seen: set[int] = set()
+        part, shingler, often = part_id(), Shingler(words), frequent.value
+        docs, tokens, sids, points = [], [], [], {}
         for batch in batches:
             for k1, k2, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].to_pylist()):
                 s = shingler(text)
                 sid = set_id(s) if len(s) else np.int64(0)
                 docs.append((k1, k2, len(s), sid))
-                if len(s) and sid not in seen:
-                    seen.add(sid)
-                    key = cells(s, num, den)
-                    keys.append(key)
-                    sids.append(np.full(len(key), sid))
+                if len(s) and sid not in points:
+                    token = prefix(s, often, num, den)
+                    tokens.append(token)
+                    sids.append(np.full(len(token), sid))
+                    points[sid] = np.minimum(counts_of([s])[0], 65535).astype(np.uint16)
         if not docs:
             return
         k1, k2, n, sid = np.array(docs, np.int64).T
         yield packed([(DOC, part, part % buckets, k1.tobytes(), k2.tobytes(), n.tobytes(), sid.tobytes())])
-        order = np.lexsort((k2, k1, sid))
-        order = order[n[order] > 0]
-        order = order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])] if len(order) else order
-        yield from dealt(CLASS, part, buckets, sid[order].view(np.uint64), sid[order], k1[order], k2[order], n[order])
-        if keys:
-            key, sid = np.concatenate(keys), np.concatenate(sids)
-            key, sid, edges = _stars(key, sid)
-            yield packed([(EDGE, part, part % buckets, edges.tobytes())])
-            yield from dealt(CELL, part, buckets, key, key, sid)
+        order = _smallest(sid, k1, k2, n > 0)
+        held = np.stack([points[x] for x in sid[order]]) if len(order) else np.zeros((0, GROUPS), np.uint16)
+        yield from dealt(CLASS, part, buckets, sid[order].view(np.uint64), sid[order], k1[order], k2[order], n[order], held)
+        if tokens:
+            token, sid = np.concatenate(tokens), np.concatenate(sids)
+            yield from dealt(CELL, part, buckets, token, token, sid)
 
     return route
 
 
-def _stars(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once with its smallest set, and the distinct edges from that set to the key's others."""
-    order = np.lexsort((sid, key))
-    key, sid = key[order], sid[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    lead = sid[first][np.cumsum(first) - 1] if len(key) else sid
-    edges = np.stack([lead, sid], axis=1)[~first & (lead != sid)]
-    return key[first], sid[first], np.unique(edges, axis=0) if len(edges) else edges
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = gathered(batches)
-    for r in rows.get(DOC, []):
-        yield packed([(DOC, 0, 0, r["a"], r["b"], r["c"], r["d"])])
-    edges = [np.frombuffer(r["a"], np.int64).reshape(-1, 2) for r in rows.get(EDGE, [])]
-    if classes := rows.get(CLASS, []):
-        sid, k1, k2, n = (joined_blobs(classes, c, np.int64) for c in "abcd")
-        order = np.lexsort((k2, k1, sid))
-        order = order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])]
-        yield packed([(CLASS, 0, 0, *[x[order].tobytes() for x in (sid, k1, k2, n)])])
-    if found := rows.get(CELL, []):
-        edges.append(_stars(joined_blobs(found, "a", np.uint64), joined_blobs(found, "b", np.int64))[2])
-    edges = [x for x in edges if len(x)]
-    if edges:
-        both = np.unique(np.concatenate(edges), axis=0)
-        yield packed([(EDGE, 0, 0, both[:, 0].tobytes(), both[:, 1].tobytes())])
-
-
-def _unpacked(table: DataFrame, kind: int, names: str) -> DataFrame:
+def _smallest(sid: np.ndarray, k1: np.ndarray, k2: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The row of the smallest document of each set."""
+    order = np.lexsort((k2, k1, sid))
+    order = order[use[order]]
+    return order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])] if len(order) else order
+
+
+def _meet(most: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        for r in rows.get(DOC, []):
+            yield packed([(DOC, 0, 0, r["a"], r["b"], r["c"], r["d"])])
+        if classes := rows.get(CLASS, []):
+            sid, k1, k2, n = (joined_blobs(classes, c, np.int64) for c in "abcd")
+            point = joined_blobs(classes, "e", np.uint16).reshape(-1, GROUPS)
+            order = _smallest(sid, k1, k2, n > 0)
+            yield packed([(CLASS, 0, 0, *[x[order].tobytes() for x in (sid, k1, k2, n, point)])])
+        if cells := rows.get(CELL, []):
+            token, sid = joined_blobs(cells, "a", np.int64), joined_blobs(cells, "b", np.int64)
+            order = np.lexsort((sid, token))
+            token, sid = token[order], sid[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
+            token, sid = token[new], sid[new]
+            first = np.concatenate([[True], token[1:] != token[:-1]])
+            group = np.cumsum(first) - 1
+            size = np.bincount(group)[group]
+            fits, over = (size > 1) & (size <= most), (size > most) & ~first
+            if fits.any():
+                yield packed([(CELL, 0, 0, token[fits].tobytes(), sid[fits].tobytes())])
+            if over.any():
+                yield packed([(EDGE, 0, 0, sid[first][group[over]].tobytes(), sid[over].tobytes())])
+
+    return meet
+
+
+def _unpacked(table: DataFrame, kind: int, names: str, points: bool = False) -> DataFrame:
+    """The rows of one kind; the last name is a point where points says so."""
+    fields = names.split()
+    types = ["long"] * (len(fields) - points) + ["binary"] * points
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["abcdef"[k]], np.int64)) for k in range(len(names.split()))], names=names.split())
+                cols = [pa.array(np.frombuffer(row[c], np.int64)) for c, t in zip("abcdef", types) if t == "long"]
+                if points:
+                    cols.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), len(cols[0]), [None, pa.py_buffer(row["abcdef"[len(cols)]])]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=fields)
 
-    return table.where(f"kind = {kind}").select(*"abcdef"[: len(names.split())]).mapInArrow(unpack, ", ".join(f"{x} long" for x in names.split()))
+    return table.where(f"kind = {kind}").select(*"abcdef"[: len(fields)]).mapInArrow(unpack, ", ".join(map(" ".join, zip(fields, types))))
 
 
 def _whole_clusters(words: int, num: int, den: int):
@@ -287,9 +340,9 @@ def _whole_clusters(words: int, num: int, den: int):
         shingler = Shingler(words)
         rows = ((r["cluster"], r["sid"], r["text"]) for batch in batches for r in batch.to_pylist())
         for _, group in groupby(rows, key=lambda r: r[0]):
-            sets = {sid: shingler(text) for _, sid, text in group}
-            sids = np.array(list(sets), np.int64)
-            label = link_components(list(sets.values()), num, den) if len(sets) > 1 else np.zeros(1, np.int64)
+            held = {sid: shingler(text) for _, sid, text in group}
+            sids, sets = np.array(list(held), np.int64), list(held.values())
+            label = spanned(counts_of(sets), np.array([len(s) for s in sets]), num, den, sets) if len(sets) > 1 else np.zeros(1, np.int64)
             moved = label != np.arange(len(sids))
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sids[moved]), pa.array(sids[label[moved]])], names=["a", "b"])
@@ -340,23 +393,30 @@ def _large_links(docs: DataFrame, words: int, num: int, den: int, pivots: int, b
         state = saved(new.select("cluster", "sid", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
 
 
-def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, large: int = LARGE, pivots: int = PIVOTS) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, large: int = LARGE, pivots: int = PIVOTS, cell_most: int = CELL_MOST) -> DataFrame:
     """One row for each row of docs: k1, k2 (its keys), n_shingles, rep1, rep2 (keys of the smallest document of its component).
 
     Two documents link when den * intersection >= num * union of their sets of
     shingles of so many words.
     """
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = partitions(spark)
     buckets = 4 * n
     texts = row_keys(docs)
-    routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets), PACKED), n)
-    table = saved(routed.mapInArrow(_meet, PACKED), "jaccard-cells")
-    reps = _unpacked(table, CLASS, "sid r1 r2 n")
-    clusters = components(_unpacked(table, EDGE, "a b"), "jaccard-clusters")
+    often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+    routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, spark.sparkContext.broadcast(often)), PACKED), n)
+    table = saved(routed.mapInArrow(_meet(cell_most), PACKED), "jaccard-cells")
+    points = _unpacked(table, CLASS, "sid r1 r2 n point", points=True)
+    reps = points.drop("point")
+    members = _unpacked(table, CELL, "token sid").join(points.select("sid", "n", "point").hint("merge"), "sid")
+    bounded = members.select("token", "sid", "n", "point").repartition(n, "token").mapInArrow(_bounded(num, den), "a long, b long")
+    clusters = components(bounded.union(_unpacked(table, EDGE, "a b")), "jaccard-clusters")
     suspects = clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(reps, "sid")
     weights = suspects.groupBy("cluster").agg(F.sum("n").alias("weight"))
     suspects = saved(suspects.join(weights, "cluster"), "jaccard-suspects")
-    wanted = texts.join(suspects.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "sid", "cluster", "weight", "n"), ["k1", "k2"])
+    found = suspects.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "sid", "cluster", "weight", "n")
+    wanted = texts.join(found.hint("merge"), ["k1", "k2"])  # grows with the input, so it isn't sent to all
     fits = wanted.where(F.col("weight") <= large).select("cluster", "sid", "text").repartition(n, "cluster").sortWithinPartitions("cluster")
     links = fits.mapInArrow(_whole_clusters(words, num, den), "a long, b long")
     if suspects.where(F.col("weight") > large).limit(1).count():
