@@ -19,6 +19,7 @@ other columns are not returned.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,12 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import part_id
-from .words import Ids
 
 LENGTH, END = 2048, 1
 OPEN = 4096  # windows a partition holds open
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_ADDED = "<|endoftext|>"  # fixed value: the vocabulary's added token
 
 
 class SumOfSquares:
@@ -101,35 +100,60 @@ class SumOfSquares:
                     sequence = []
 
 
-@lru_cache(2)
-def token_ids(path: str) -> Ids:
-    """The tokenizer's ids by pretoken; one memory for each worker and file."""
-    from tokenizers import Tokenizer
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 is itself, the rest come from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class TokenIds:
+    """The ids that tokenizers gives with a byte-level BPE file.
+
+    Where the file's merges are the order of its ids, tiktoken's merge engine
+    gives the same ids several times faster; else, and for texts that hold an
+    added token's string, the tokenizer itself is called.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(x.ids) for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = [x["content"] for x in file["added_tokens"]]
+        self.fast = self._engine(file)
 
-    out = Ids(encode, public_tokenizers.PATTERN)
-    out.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-    return out
+    @staticmethod
+    def _engine(file: dict):
+        vocab, byte_of = file["model"]["vocab"], _byte_of()
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        made = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])]
+        if file["normalizer"] or not plain.items() <= (file["pre_tokenizer"] or {}).items() or made != sorted(made):
+            return None
+        import tiktoken
 
+        added = {x["content"] for x in file["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
+        return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-def tokenized(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text; texts that hold the added token's string go to the tokenizer whole."""
-    ids = token_ids(path)
-    special = [_ADDED in t for t in texts]
-    plain = ids([t for t, s in zip(texts, special) if not s])
-    for t, s in zip(texts, special):
-        yield ids.whole(t) if s else next(plain)
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast and not any(x in text for x in self.added):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@lru_cache(2)
+def token_ids(path: str) -> TokenIds:
+    """One for each worker and file."""
+    return TokenIds(path)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """One row for each piece of a document: where it lies in the document and in its sequence, and its ids (little-endian uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number = SumOfSquares(length), part_id() << 36
+        packer, tokens, number = SumOfSquares(length), token_ids(path), part_id() << 36
         cols: list[list] = [[] for _ in range(7)]
         held = 0
 
@@ -151,8 +175,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
 
         for part in batches:
             names = part["doc_id"].to_pylist()
-            for doc, ids in zip(names, tokenized([t or "" for t in part["text"].to_pylist()], path)):
-                ids = np.append(ids, np.uint32(end))
+            for doc, text in zip(names, part["text"].to_pylist()):
+                ids = np.append(tokens(text or ""), np.uint32(end))
                 for sequence in packer.place((doc, len(ids)), ids):
                     add(sequence)
                 if held > 1_000_000:
