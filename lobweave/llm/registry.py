@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, packing, sentence_dedup, suffix_dedup
+from . import bpe, chat, exact_dedup, jaccard_join, packing, sentence_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        chat.op2_chat_format,
         packing.op3_sum_of_squares_packing,
+        url_filter.op4_url_filter,
         bpe.op5_byte_bpe,
         exact_dedup.op6_exact_dedup,
         jaccard_join.op7_ngram_jaccard_join,
@@ -15,4 +17,4 @@ QUERIES = {
         suffix_dedup.op10_suffix_array_dedup,
     )
 }
-SQL = {name: sql for module in (packing, bpe, exact_dedup, jaccard_join, sentence_dedup, suffix_dedup) for name, sql in module.SQL.items()}
+SQL = {name: sql for module in (chat, packing, url_filter, bpe, exact_dedup, jaccard_join, sentence_dedup, suffix_dedup) for name, sql in module.SQL.items()}
