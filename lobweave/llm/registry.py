@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, packing, sentence_dedup, suffix_dedup, url_filter
+from . import bpe, chat, exact_dedup, jaccard_join, packing, sentence_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        toxicity.op1_toxicity,
         chat.op2_chat_format,
         packing.op3_sum_of_squares_packing,
         url_filter.op4_url_filter,
@@ -17,4 +18,4 @@ QUERIES = {
         suffix_dedup.op10_suffix_array_dedup,
     )
 }
-SQL = {name: sql for module in (chat, packing, url_filter, bpe, exact_dedup, jaccard_join, sentence_dedup, suffix_dedup) for name, sql in module.SQL.items()}
+SQL = {name: sql for module in (toxicity, chat, packing, url_filter, bpe, exact_dedup, jaccard_join, sentence_dedup, suffix_dedup) for name, sql in module.SQL.items()}
