@@ -199,17 +199,17 @@ def spanned(points: np.ndarray, sizes: np.ndarray, num: int, den: int, sets: lis
 
 
 def _bounded(num: int, den: int):
-    """Edges that span what the bound leaves of each cell; rows: token, sid, n, point."""
+    """Edges that span what the bound leaves of each cell; rows: cell1, cell2, sid, n, point."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        token, sid, size = (np.concatenate([b[c].to_numpy() for b in batches]) for c in ("token", "sid", "n"))
+        one, two, sid, size = (np.concatenate([b[c].to_numpy() for b in batches]) for c in ("cell1", "cell2", "sid", "n"))
         blob = [x.as_buffer() for b in batches for x in b["point"]]
         points = np.frombuffer(b"".join(blob), np.uint16).reshape(-1, GROUPS)
-        order = np.lexsort((sid, token))
-        cuts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1], [True]]))
+        order = np.lexsort((sid, two, one))
+        cuts = np.flatnonzero(np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]), [True]]))
         width = np.diff(cuts)
         edges = []
         for m in range(2, FANOUT + 1):  # cells of one leaf, all of a width together
@@ -312,7 +312,10 @@ def _meet(most: int):
             size = np.bincount(group)[group]
             fits, over = (size > 1) & (size <= most), (size > most) & ~first
             if fits.any():
-                yield packed([(CELL, 0, 0, token[fits].tobytes(), sid[fits].tobytes())])
+                held = sid[fits]
+                lead = np.flatnonzero(first[fits])
+                sums = np.stack([np.add.reduceat(mixed(held.view(np.uint64) ^ np.uint64(k)), lead) for k in (0, 1)], axis=1)
+                yield packed([(CELL, 0, 0, sums.tobytes(), lead.tobytes(), held.tobytes())])
             if over.any():
                 yield packed([(EDGE, 0, 0, sid[first][group[over]].tobytes(), sid[over].tobytes())])
 
@@ -335,6 +338,28 @@ def _unpacked(table: DataFrame, kind: int, names: str, points: bool = False) ->
     return table.where(f"kind = {kind}").select(*"abcdef"[: len(fields)]).mapInArrow(unpack, ", ".join(map(" ".join, zip(fields, types))))
 
 
+def _cells(table: DataFrame) -> DataFrame:
+    """Members (cell1, cell2, sid) of the distinct cells: shingles that the same documents share are one cell."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lead = np.frombuffer(row["b"], np.int64)
+                names, ends = np.frombuffer(row["a"], np.int64).reshape(-1, 2), np.append(lead, len(row["c"]) // 8)
+                _, at = np.unique(names, axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at, 0]), pa.array(names[at, 1]), pa.array([row["c"][8 * ends[k] : 8 * ends[k + 1]] for k in at], pa.binary())], names=["cell1", "cell2", "sids"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [x.as_buffer() for x in batch["sids"]]
+            width = np.array([x.size // 8 for x in blobs], np.int64)
+            cells = [pa.array(np.repeat(batch[c].to_numpy(), width)) for c in ("cell1", "cell2")]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["cell1", "cell2", "sid"])
+
+    found = table.where(f"kind = {CELL}").select(*"abc").mapInArrow(cells, "cell1 long, cell2 long, sids binary")
+    return found.groupBy("cell1", "cell2").agg(F.max("sids").alias("sids")).mapInArrow(members, "cell1 long, cell2 long, sid long")
+
+
 def _whole_clusters(words: int, num: int, den: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -409,8 +434,8 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     table = saved(routed.mapInArrow(_meet(cell_most), PACKED), "jaccard-cells")
     points = _unpacked(table, CLASS, "sid r1 r2 n point", points=True)
     reps = points.drop("point")
-    members = _unpacked(table, CELL, "token sid").join(points.select("sid", "n", "point").hint("merge"), "sid")
-    bounded = members.select("token", "sid", "n", "point").repartition(n, "token").mapInArrow(_bounded(num, den), "a long, b long")
+    members = _cells(table).join(points.select("sid", "n", "point").hint("merge"), "sid")
+    bounded = members.select("cell1", "cell2", "sid", "n", "point").repartition(n, "cell1").mapInArrow(_bounded(num, den), "a long, b long")
     clusters = components(bounded.union(_unpacked(table, EDGE, "a b")), "jaccard-clusters")
     suspects = clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(reps, "sid")
     weights = suspects.groupBy("cluster").agg(F.sum("n").alias("weight"))
