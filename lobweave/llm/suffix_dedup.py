@@ -222,13 +222,14 @@ def _contexts(size: int, reach: int, buckets: int):
             ids = np.stack([k1[lead], k2[lead]], axis=1)
             yield from dealt(0, part, buckets, key[lead], key[lead], ids, at[lead].astype(np.int32), reachd[lead], left[lead], right[lead])
 
-        held = 0
+        held, seen = 0, set()
         for batch in batches:
             wanted = batch["ordinals"]
             for i, (a, b, data) in enumerate(_bytes(batch)):
                 chosen = np.frombuffer(wanted[i].as_py() or b"", np.uint32)
-                if not len(chosen):
+                if not len(chosen) or (a, b) in seen:  # a repeated row is the same document
                     continue
+                seen.add((a, b))
                 at, s_from, s_to = (x[chosen] for x in anchors(data, size, reach))
                 low, high = at - s_to, at - s_from  # offsets of the trigger in its windows
                 room = np.minimum(len(data) - (at + middle), span)
@@ -308,6 +309,9 @@ def _resolve(reach: int):
         key, ids = joined_blobs(rows, "a", np.uint64), joined_blobs(rows, "b", np.int64).reshape(-1, 2)
         at, fields = joined_blobs(rows, "c", np.int32).astype(np.int64), joined_blobs(rows, "d", np.uint32)
         left, right = (joined_blobs(rows, c, np.uint8).reshape(-1, span) for c in "ef")
+        order = np.lexsort((at, ids[:, 1], ids[:, 0]))
+        new = np.concatenate([[True], (np.diff(ids[order], axis=0) != 0).any(axis=1) | (np.diff(at[order]) != 0)])
+        key, ids, at, fields, left, right = (x[order[new]] for x in (key, ids, at, fields, left, right))
         hits = list(repeated(key, ids, at, fields, left, right, reach))
         if not hits:
             return
