@@ -45,7 +45,8 @@ from .common import NO_ID, PACKED, by_bucket, components, dealt, gathered, joine
 
 DOC, CLASS, CELL, EDGE = 0, 1, 2, 3  # kinds of packed rows
 GROUPS, FANOUT = 256, 16
-LARGE = 8_000_000  # shingles in one task's cluster
+LONG = (3_000, 12_000)  # sizes from which sets have four and sixteen times the groups: more shingles need finer counts
+LARGE = 3_000_000  # shingles in one task's cluster
 CELL_MOST = 100_000  # members of a cell that one task indexes
 PIVOTS = 256  # of each large cluster in a round
 STRETCH, SHARE, FREQUENT = 1_000_000, 0.002, 100_000  # shingles of a stretch, of its documents that make a shingle frequent, frequent shingles kept
@@ -152,11 +153,22 @@ class CountTree:
         return (small <= most) & (least * num <= size * den) & ((bound * (num + den) >= num * (size + small)) | _saturated(most))
 
 
-def counts_of(sets: list[np.ndarray]) -> np.ndarray:
+def scale_of(size) -> np.ndarray:
+    """0, 1 or 2: a set of this size has GROUPS * 4 ** scale groups."""
+    return np.searchsorted(LONG, size, side="right")
+
+
+def counts_of(sets: list[np.ndarray], scale: int = 0) -> np.ndarray:
     """Points: how many shingles of each set fall into each group."""
+    groups = GROUPS * 4**scale
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    group = (np.concatenate(sets) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(rows * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    group = (np.concatenate(sets) % np.uint64(groups)).astype(np.int64)
+    return np.bincount(rows * groups + group, minlength=len(sets) * groups).reshape(-1, groups)
+
+
+def folded(points: np.ndarray, scale: int, to: int) -> np.ndarray:
+    """Points of a finer scale at a coarser one."""
+    return points.reshape(len(points), 4 ** (scale - to), -1).sum(axis=1)
 
 
 def _saturated(size) -> np.ndarray:
@@ -206,8 +218,18 @@ def _bounded(num: int, den: int):
         if not batches:
             return
         one, two, sid, size = (np.concatenate([b[c].to_numpy() for b in batches]) for c in ("cell1", "cell2", "sid", "n"))
-        blob = [x.as_buffer() for b in batches for x in b["point"]]
-        points = np.frombuffer(b"".join(blob), np.uint16).reshape(-1, GROUPS)
+        blobs = [x.as_buffer() for b in batches for x in b["point"]]
+        scale, place, points = scale_of(size), np.empty(len(size), np.int64), {}
+        for c in range(len(LONG) + 1):
+            rows = np.flatnonzero(scale == c)
+            place[rows] = np.arange(len(rows))
+            points[c] = np.frombuffer(b"".join(blobs[i] for i in rows), np.uint16).reshape(len(rows), GROUPS * 4**c)
+        del blobs
+
+        def at(rows: np.ndarray, c: int, to: int) -> np.ndarray:
+            x = points[c][place[rows]]
+            return x if c == to else folded(x, c, to)
+
         order = np.lexsort((sid, two, one))
         cuts = np.flatnonzero(np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]), [True]]))
         width = np.diff(cuts)
@@ -215,16 +237,32 @@ def _bounded(num: int, den: int):
         for m in range(2, FANOUT + 1):  # cells of one leaf, all of a width together
             first = cuts[:-1][width == m]
             left, right = np.triu_indices(m, 1)
-            pairs = np.stack([(first[:, None] + left).ravel(), (first[:, None] + right).ravel()], axis=1)
-            for at in range(0, len(pairs), 8192):
-                a, b = order[pairs[at : at + 8192].T]
-                may = CountTree._may(points[b], size[b], size[b], points[a], size[a], num, den)
-                edges.append(np.stack([sid[a[may]], sid[b[may]]], axis=1))
+            a, b = order[(first[:, None] + left).ravel()], order[(first[:, None] + right).ravel()]
+            near = (size[a] * den >= size[b] * num) & (size[b] * den >= size[a] * num)
+            a, b = a[near], b[near]
+            for ca, cb in {*zip(scale[a].tolist(), scale[b].tolist())}:
+                pick = np.flatnonzero((scale[a] == ca) & (scale[b] == cb))
+                step = max(1, 2_000_000 >> (8 + 2 * max(ca, cb)))
+                for k in range(0, len(pick), step):
+                    x, y = a[pick[k : k + step]], b[pick[k : k + step]]
+                    may = CountTree._may(at(y, cb, min(ca, cb)), size[y], size[y], at(x, ca, min(ca, cb)), size[x], num, den)
+                    edges.append(np.stack([sid[x[may]], sid[y[may]]], axis=1))
         for first, last in zip(cuts[:-1][width > FANOUT], cuts[1:][width > FANOUT]):
-            ids = order[first:last]
-            label = spanned(points[ids], size[ids], num, den)
-            moved = label != np.arange(len(ids))
-            edges.append(np.stack([sid[ids[moved]], sid[ids[label[moved]]]], axis=1))
+            for c in range(len(LONG) + 1):
+                ids = order[first:last][scale[order[first:last]] == c]
+                if not len(ids):
+                    continue
+                held = at(ids, c, c)
+                label = spanned(held, size[ids], num, den)
+                moved = label != np.arange(len(ids))
+                edges.append(np.stack([sid[ids[moved]], sid[ids[label[moved]]]], axis=1))
+                for d in range(c + 1, len(LONG) + 1):  # pairs across the border of two scales
+                    over = order[first:last][scale[order[first:last]] == d]
+                    over = over[size[over] * num <= size[ids].max() * den]
+                    tree = CountTree(held, size[ids]) if len(over) else None
+                    for i in over:
+                        near = ids[tree.search(at(np.array([i]), d, c)[0], size[i], num, den)]
+                        edges.append(np.stack([np.full(len(near), sid[i]), sid[near]], axis=1))
         both = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -269,14 +307,16 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
                     token = prefix(s, often, num, den)
                     tokens.append(token)
                     sids.append(np.full(len(token), sid))
-                    points[sid] = np.minimum(counts_of([s])[0], 65535).astype(np.uint16)
+                    points[sid] = np.minimum(counts_of([s], int(scale_of(len(s))))[0], 65535).astype(np.uint16)
         if not docs:
             return
         k1, k2, n, sid = np.array(docs, np.int64).T
         yield packed([(DOC, part, part % buckets, k1.tobytes(), k2.tobytes(), n.tobytes(), sid.tobytes())])
         order = _smallest(sid, k1, k2, n > 0)
-        held = np.stack([points[x] for x in sid[order]]) if len(order) else np.zeros((0, GROUPS), np.uint16)
-        yield from dealt(CLASS, part, buckets, sid[order].view(np.uint64), sid[order], k1[order], k2[order], n[order], held)
+        for c in range(len(LONG) + 1):
+            rows = order[scale_of(n[order]) == c]
+            if len(rows):
+                yield from dealt(CLASS, part, buckets, sid[rows].view(np.uint64), sid[rows], k1[rows], k2[rows], n[rows], np.stack([points[x] for x in sid[rows]]))
         if tokens:
             token, sid = np.concatenate(tokens), np.concatenate(sids)
             yield from dealt(CELL, part, buckets, token, token, sid)
@@ -296,9 +336,12 @@ def _meet(most: int):
         rows = gathered(batches)
         for r in rows.get(DOC, []):
             yield packed([(DOC, 0, 0, r["a"], r["b"], r["c"], r["d"])])
-        if classes := rows.get(CLASS, []):
-            sid, k1, k2, n = (joined_blobs(classes, c, np.int64) for c in "abcd")
-            point = joined_blobs(classes, "e", np.uint16).reshape(-1, GROUPS)
+        by_scale: dict[int, list[dict]] = {}
+        for r in rows.get(CLASS, []):
+            by_scale.setdefault(int(scale_of(np.frombuffer(r["d"], np.int64, 1)[0])), []).append(r)
+        for c, classes in by_scale.items():
+            sid, k1, k2, n = (joined_blobs(classes, x, np.int64) for x in "abcd")
+            point = joined_blobs(classes, "e", np.uint16).reshape(len(sid), -1)
             order = _smallest(sid, k1, k2, n > 0)
             yield packed([(CLASS, 0, 0, *[x[order].tobytes() for x in (sid, k1, k2, n, point)])])
         if cells := rows.get(CELL, []):
@@ -332,7 +375,9 @@ def _unpacked(table: DataFrame, kind: int, names: str, points: bool = False) ->
             for row in batch.to_pylist():
                 cols = [pa.array(np.frombuffer(row[c], np.int64)) for c, t in zip("abcdef", types) if t == "long"]
                 if points:
-                    cols.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), len(cols[0]), [None, pa.py_buffer(row["abcdef"[len(cols)]])]).cast(pa.binary()))
+                    blob = row["abcdef"[len(cols)]]
+                    width = len(blob) // len(cols[0])
+                    cols.append(pa.array([blob[k : k + width] for k in range(0, len(blob), width)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=fields)
 
     return table.where(f"kind = {kind}").select(*"abcdef"[: len(fields)]).mapInArrow(unpack, ", ".join(map(" ".join, zip(fields, types))))
