@@ -29,3 +29,13 @@ WINDOW_NS = 60_000_000_000
 
 def struct(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
+
+
+def names(ddl: str) -> list[str]:
+    """Column names of a DDL string."""
+    out, depth = [], 0
+    for part in ddl.split(", "):
+        if not depth:
+            out.append(part.split()[0])
+        depth += part.count("<") + part.count("(") - part.count(">") - part.count(")")
+    return out

@@ -93,7 +93,8 @@ def read_partition(spark: SparkSession, root: str, exchange: str, symbol: str, d
 
 
 def read_features(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(struct(f"{FEATURES}, date STRING, session BIGINT")).parquet(f"{root}/features")
+    schema = struct(f"{FEATURES}, date STRING, session BIGINT")
+    return spark.read.schema(schema).parquet(f"{root}/features").select(*schema.names)
 
 
 def flat_files(spark: SparkSession, directory: str) -> DataFrame:
