@@ -8,7 +8,7 @@ that link lie close together in the sum of absolute differences.
   each in any order common to all. The order is that of the hashes, with the most
   frequent shingles last (those in many documents of some stretch of the input,
   a bounded list that moves work and no result). Documents that share such a
-  shingle are a cell.
+  shingle are a cell, parted where sizes leave a step that no link bridges.
 * The points of a cell's members are packed into an R-tree whose nodes keep the
   upper corner of the counts and the range of the sizes; a search drops nodes by
   the summed minima of the query and the corner. Pairs that survive join clusters.
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, PACKED, by_bucket, components, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
 DOC, CLASS, CELL, EDGE = 0, 1, 2, 3  # kinds of packed rows
-GROUPS, FANOUT = 256, 16
-LONG = (3_000, 12_000)  # sizes from which sets have four and sixteen times the groups: more shingles need finer counts
+GROUPS, FANOUT = 64, 16
+LONG = (800, 3_200, 12_800)  # sizes from each of which sets have four times the groups: more shingles need finer counts
 LARGE = 3_000_000  # shingles in one task's cluster
 CELL_MOST = 100_000  # members of a cell that one task indexes
 PIVOTS = 256  # of each large cluster in a round
@@ -154,7 +154,7 @@ class CountTree:
 
 
 def scale_of(size) -> np.ndarray:
-    """0, 1 or 2: a set of this size has GROUPS * 4 ** scale groups."""
+    """0 to 3: a set of this size has GROUPS * 4 ** scale groups."""
     return np.searchsorted(LONG, size, side="right")
 
 
@@ -242,7 +242,7 @@ def _bounded(num: int, den: int):
             a, b = a[near], b[near]
             for ca, cb in {*zip(scale[a].tolist(), scale[b].tolist())}:
                 pick = np.flatnonzero((scale[a] == ca) & (scale[b] == cb))
-                step = max(1, 2_000_000 >> (8 + 2 * max(ca, cb)))
+                step = max(1, 2_000_000 // (GROUPS << 2 * max(ca, cb)))
                 for k in range(0, len(pick), step):
                     x, y = a[pick[k : k + step]], b[pick[k : k + step]]
                     may = CountTree._may(at(y, cb, min(ca, cb)), size[y], size[y], at(x, ca, min(ca, cb)), size[x], num, den)
@@ -297,7 +297,7 @@ def _frequent(words: int):
 def _route(words: int, num: int, den: int, buckets: int, frequent):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shingler, often = part_id(), Shingler(words), frequent.value
-        docs, tokens, sids, points = [], [], [], {}
+        docs, tokens, sids, sizes, points = [], [], [], [], {}
         for batch in batches:
             for k1, k2, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].to_pylist()):
                 s = shingler(text)
@@ -307,6 +307,7 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
                     token = prefix(s, often, num, den)
                     tokens.append(token)
                     sids.append(np.full(len(token), sid))
+                    sizes.append(np.full(len(token), len(s), np.uint32))
                     points[sid] = np.minimum(counts_of([s], int(scale_of(len(s))))[0], 65535).astype(np.uint16)
         if not docs:
             return
@@ -318,8 +319,8 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
             if len(rows):
                 yield from dealt(CLASS, part, buckets, sid[rows].view(np.uint64), sid[rows], k1[rows], k2[rows], n[rows], np.stack([points[x] for x in sid[rows]]))
         if tokens:
-            token, sid = np.concatenate(tokens), np.concatenate(sids)
-            yield from dealt(CELL, part, buckets, token, token, sid)
+            token = np.concatenate(tokens)
+            yield from dealt(CELL, part, buckets, token, token, np.concatenate(sids), np.concatenate(sizes))
 
     return route
 
@@ -331,7 +332,7 @@ def _smallest(sid: np.ndarray, k1: np.ndarray, k2: np.ndarray, use: np.ndarray)
     return order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])] if len(order) else order
 
 
-def _meet(most: int):
+def _meet(num: int, den: int, most: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = gathered(batches)
         for r in rows.get(DOC, []):
@@ -345,19 +346,20 @@ def _meet(most: int):
             order = _smallest(sid, k1, k2, n > 0)
             yield packed([(CLASS, 0, 0, *[x[order].tobytes() for x in (sid, k1, k2, n, point)])])
         if cells := rows.get(CELL, []):
-            token, sid = joined_blobs(cells, "a", np.int64), joined_blobs(cells, "b", np.int64)
-            order = np.lexsort((sid, token))
-            token, sid = token[order], sid[order]
+            token, sid, n = joined_blobs(cells, "a", np.int64), joined_blobs(cells, "b", np.int64), joined_blobs(cells, "c", np.uint32).astype(np.int64)
+            order = np.lexsort((sid, n, token))
+            token, sid, n = token[order], sid[order], n[order]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-            token, sid = token[new], sid[new]
-            first = np.concatenate([[True], token[1:] != token[:-1]])
+            token, sid, n = token[new], sid[new], n[new]
+            # a step in size that no link can bridge parts a cell
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (n[1:] * num > n[:-1] * den)])
             group = np.cumsum(first) - 1
             size = np.bincount(group)[group]
             fits, over = (size > 1) & (size <= most), (size > most) & ~first
             if fits.any():
                 held = sid[fits]
                 lead = np.flatnonzero(first[fits])
-                sums = np.stack([np.add.reduceat(mixed(held.view(np.uint64) ^ np.uint64(k)), lead) for k in (0, 1)], axis=1)
+                sums = np.stack([np.add.reduceat(mixed(held.view(np.uint64) ^ np.uint64(k)), lead) for k in (0, 1)], axis=1)  # order of members doesn't count
                 yield packed([(CELL, 0, 0, sums.tobytes(), lead.tobytes(), held.tobytes())])
             if over.any():
                 yield packed([(EDGE, 0, 0, sid[first][group[over]].tobytes(), sid[over].tobytes())])
@@ -476,7 +478,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
     routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, spark.sparkContext.broadcast(often)), PACKED), n)
-    table = saved(routed.mapInArrow(_meet(cell_most), PACKED), "jaccard-cells")
+    table = saved(routed.mapInArrow(_meet(num, den, cell_most), PACKED), "jaccard-cells")
     points = _unpacked(table, CLASS, "sid r1 r2 n point", points=True)
     reps = points.drop("point")
     members = _cells(table).join(points.select("sid", "n", "point").hint("merge"), "sid")
