@@ -215,9 +215,10 @@ def contiguity_check(spark: SparkSession, d: str) -> DataFrame:
 
 def log_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows printed as heartbeat lines and read back."""
-    rows = features.feature_rows(fx_book(spark, d), BOOK_WINDOW_NS).where("midprice IS NOT NULL")
-    line = F.concat(F.date_format(F.timestamp_seconds(F.expr("timestamp_ns div 1000000000")), "yyyy-MM-dd HH:mm:ss"), F.lit("  mid "), F.format_string("%.2f", F.col("midprice").cast("double")), F.lit("  L1  |  "), F.format_number("capture_seq", 0), F.lit(" events  1,000 trades  1 snapshot(s)  0 rejected"))
-    return logs.log_summary(rows.select(line.alias("line")))
+    rows = features.feature_rows(fx_book(spark, d), BOOK_WINDOW_NS)
+    counts = features.outcome_counts(fx_book(spark, d)).select("symbol", "trades", "snapshots", "rejected")
+    rows = rows.withColumn("events", F.col("capture_seq") + 1).join(counts, "symbol")
+    return logs.log_summary(logs.heartbeat_lines(rows.select("timestamp_ns", "midprice", "events", "trades", "snapshots", "rejected")))
 
 
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:

@@ -22,6 +22,17 @@ def heartbeats(lines: DataFrame) -> DataFrame:
     return rows.select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").alias("at"), part(2).cast("decimal(18,8)").alias("mid"), number(3).alias("events"), number(4).alias("trades"), number(5).alias("snapshots"), number(6).alias("rejected"))
 
 
+def heartbeat_lines(rows: DataFrame, every_s: int = 0, snapshots: str = "snapshots", rejected: str = "rejected") -> DataFrame:
+    """Status lines (column line) for rows of timestamp_ns, midprice, events, trades, snapshots, rejected; the first of each every_s seconds, if given."""
+    if every_s:
+        slot = F.expr(f"timestamp_ns div {every_s * 1_000_000_000}")
+        rows = rows.groupBy(slot.alias("_slot")).agg(F.min_by(F.struct(*rows.columns), "timestamp_ns").alias("r")).select("r.*")
+    at = F.date_format(F.timestamp_seconds(F.expr("timestamp_ns div 1000000000")), "yyyy-MM-dd HH:mm:ss")
+    mid = F.format_string("%.2f", F.col("midprice").cast("double"))
+    text = F.concat(at, F.lit("  mid "), mid, F.lit("  |  "), F.format_number("events", 0), F.lit(" events  "), F.format_number("trades", 0), F.lit(" trades  "), F.col(snapshots).cast("string"), F.lit(" snapshot(s)  "), F.col(rejected).cast("string"), F.lit(" rejected"))
+    return rows.where("midprice IS NOT NULL").select(text.alias("line"))
+
+
 def log_summary(lines: DataFrame) -> DataFrame:
     """One row: heartbeats, first and last of them, range of mid and its span in percent, resyncs, rejected, errors."""
     beats = heartbeats(lines).agg(

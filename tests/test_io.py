@@ -164,6 +164,9 @@ def test_logs(spark, tmp_path):
     )
     r = logs.log_summary(logs.read_log(spark, f"{tmp_path}/run.log")).first()
     assert (r.lines, r.resyncs, r.rejected_lines, r.errors, r.heartbeats, r.events, r.trades, r.span_pct) == (6, 1, 1, 1, 2, 2400, 2000, 2.0)
+    beats = spark.createDataFrame([(T0 + k * 10**10, 100.0 + k, 10 * k, k, 1, 0) for k in range(7)] + [(T0, None, 1, 1, 1, 1)], "timestamp_ns long, midprice double, events long, trades long, snapshots int, rejected int")
+    assert logs.heartbeats(logs.heartbeat_lines(beats)).count() == 7
+    assert [r.events for r in logs.heartbeats(logs.heartbeat_lines(beats.where("midprice > 0"), 30)).orderBy("at").collect()] == [0, 30, 60]
     reports.write_csv(frame(spark, day_rows()).where("type = 'trade'").select("symbol", "price"), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() > 0
 
