@@ -8,7 +8,10 @@ that link lie close together in the sum of absolute differences.
   each in any order common to all. The order is that of the hashes, with the most
   frequent shingles last (those in many documents of some stretch of the input,
   a bounded list that moves work and no result). Documents that share such a
-  shingle are a cell, parted where sizes leave a step that no link bridges.
+  shingle are a cell, parted where sizes leave a step that no link bridges. A
+  frequent shingle is in the prefix of documents made of frequent ones alone, a
+  family of near copies say; each input partition sends one of them and ties the
+  others to it, so such a cell is a cluster at once and never one task's group.
 * The points of a cell's members are packed into an R-tree whose nodes keep the
   upper corner of the counts and the range of the sizes; a search drops nodes by
   the summed minima of the query and the corner. Pairs that survive join clusters.
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, PACKED, by_bucket, components, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
-DOC, CLASS, CELL, EDGE = 0, 1, 2, 3  # kinds of packed rows
+DOC, CLASS, CELL, EDGE, STAR = 0, 1, 2, 3, 4  # kinds of packed rows
 GROUPS, FANOUT = 64, 16
 LONG = (800, 3_200, 12_800)  # sizes from each of which sets have four times the groups: more shingles need finer counts
 LARGE = 3_000_000  # shingles in one task's cluster
@@ -95,14 +98,19 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np
     length = n + (-num * n) // den + 1
     if length == 1 and n * (den - num) < num:
         return shingles[:0]  # only an equal set can link, and those are one class already
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        often = frequent[at] == shingles
-        if often[:length].any():
-            shingles = np.concatenate([shingles[~often], shingles[often]])
+    often = _among(shingles, frequent)
+    if often[:length].any():
+        shingles = np.concatenate([shingles[~often], shingles[often]])
     return shingles[:length]
 
 
+def _among(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which shingles are frequent ones (sorted)."""
+    if not len(frequent):
+        return np.zeros(len(shingles), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+
+
 class CountTree:
     """R-tree over count vectors, packed by recursive halving along the widest coordinate."""
 
@@ -319,12 +327,28 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
             if len(rows):
                 yield from dealt(CLASS, part, buckets, sid[rows].view(np.uint64), sid[rows], k1[rows], k2[rows], n[rows], np.stack([points[x] for x in sid[rows]]))
         if tokens:
-            token = np.concatenate(tokens)
-            yield from dealt(CELL, part, buckets, token, token, np.concatenate(sids), np.concatenate(sizes))
+            token, sid, size = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
+            hot = _among(token, often)
+            yield from dealt(CELL, part, buckets, token[~hot], token[~hot], sid[~hot], size[~hot])
+            lead, least, edges = _stars(token[hot], sid[hot])
+            yield from dealt(STAR, part, buckets, lead, lead, least)
+            if len(edges):
+                yield packed([(EDGE, part, part % buckets, edges[:, 0].tobytes(), edges[:, 1].tobytes())])
 
     return route
 
 
+def _stars(token: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token once with its smallest set, and the distinct edges from that set to the token's others."""
+    if not len(token):
+        return token, sid, np.zeros((0, 2), np.int64)
+    order = np.lexsort((sid, token))
+    token, sid = token[order], sid[order]
+    first = np.concatenate([[True], token[1:] != token[:-1]])
+    lead = sid[first][np.cumsum(first) - 1]
+    return token[first], sid[first], np.unique(np.stack([lead, sid], axis=1)[lead != sid], axis=0)
+
+
 def _smallest(sid: np.ndarray, k1: np.ndarray, k2: np.ndarray, use: np.ndarray) -> np.ndarray:
     """The row of the smallest document of each set."""
     order = np.lexsort((k2, k1, sid))
@@ -345,6 +369,12 @@ def _meet(num: int, den: int, most: int):
             point = joined_blobs(classes, "e", np.uint16).reshape(len(sid), -1)
             order = _smallest(sid, k1, k2, n > 0)
             yield packed([(CLASS, 0, 0, *[x[order].tobytes() for x in (sid, k1, k2, n, point)])])
+        for r in rows.get(EDGE, []):
+            yield packed([(EDGE, 0, 0, r["a"], r["b"])])
+        if stars := rows.get(STAR, []):
+            edges = _stars(joined_blobs(stars, "a", np.int64), joined_blobs(stars, "b", np.int64))[2]
+            if len(edges):
+                yield packed([(EDGE, 0, 0, edges[:, 0].tobytes(), edges[:, 1].tobytes())])
         if cells := rows.get(CELL, []):
             token, sid, n = joined_blobs(cells, "a", np.int64), joined_blobs(cells, "b", np.int64), joined_blobs(cells, "c", np.uint32).astype(np.int64)
             order = np.lexsort((sid, n, token))
