@@ -28,53 +28,59 @@ def flattened(events: DataFrame, *columns: str) -> DataFrame:
 
 def level_intervals(live: DataFrame, keys=KEYS) -> DataFrame:
     """Levels with the orders from which and before which they stand; one shuffle by level serves both steps."""
-    rows = flattened(live, *keys, "ep", "ord").repartition(*keys, "ep", "side", "price")
-    last = rows.groupBy(*keys, "ep", "side", "price", "ord").agg(F.max_by("quantity", "pos").alias("quantity"))
+    rows = flattened(live, *keys, "ep", "ord", "ep_end").repartition(*keys, "ep", "side", "price")
+    last = rows.groupBy(*keys, "ep", "side", "price", "ord").agg(F.max_by("quantity", "pos").alias("quantity"), F.max("ep_end").alias("ep_end"))
     until = F.lead("ord", 1, FOREVER).over(Window.partitionBy(*keys, "ep", "side", "price").orderBy("ord"))
-    return last.select(*keys, "ep", "side", "price", "quantity", F.col("ord").alias("since"), until.alias("until")).where("quantity > 0")
+    return last.select(*keys, "ep", "side", "price", "quantity", F.col("ord").alias("since"), F.least(until, F.col("ep_end") + 1).alias("until")).where("quantity > 0")
 
 
-def top_levels(live: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
-    """keys, ord, bids and asks: the best levels after each live event, best first, fewer where the book is thin."""
-    ends = live.groupBy(*keys, "ep").agg(F.max("ord").alias("end"))
-    alive = level_intervals(live, keys).join(ends, [*keys, "ep"])
-    blocks = F.sequence(F.expr(f"since div {BLOCK}"), F.expr(f"least(until - 1, end) div {BLOCK}"))
+def with_top_levels(rows: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
+    """``sequenced`` rows with bids and asks replaced by the book after each live row: best levels first, fewer where it is thin."""
+    alive = level_intervals(rows.where("live"), keys)
+    blocks = F.sequence(F.expr(f"since div {BLOCK}"), F.expr(f"(until - 1) div {BLOCK}"))
     alive = alive.select(*keys, "ep", F.explode(blocks).alias("block"), "side", "price", "quantity", "since", "until").alias("l")
-    events = live.select(*keys, "ep", "ord", F.expr(f"ord div {BLOCK}").alias("block")).alias("e")
-    meets = [F.col(f"e.{k}") == F.col(f"l.{k}") for k in (*keys, "ep", "block")] + [F.col("l.since") <= F.col("e.ord"), F.col("e.ord") < F.col("l.until")]
+    rest = [c for c in rows.columns if c not in (*keys, "ord", "bids", "asks")]
+    events = rows.select(*keys, "ord", F.when(F.col("live"), F.col("ep")).alias("_ep"), F.expr(f"ord div {BLOCK}").alias("_block"), F.struct(*rest).alias("_row")).alias("e")
+    meets = [F.col(f"e.{k}") == F.col(f"l.{k}") for k in keys]
+    meets += [F.col("e._ep") == F.col("l.ep"), F.col("e._block") == F.col("l.block"), F.col("l.since") <= F.col("e.ord"), F.col("e.ord") < F.col("l.until")]
     one = F.struct("l.price", "l.quantity")
     met = events.join(alive, meets, "left").groupBy(*[F.col(f"e.{k}") for k in keys], F.col("e.ord"))
-    met = met.agg(F.collect_list(F.when(F.col("l.side") == "bid", one)).alias("bids"), F.collect_list(F.when(F.col("l.side") == "ask", one)).alias("asks"))
-    return met.select(*keys, "ord", F.slice(F.sort_array("bids", False), 1, depth).alias("bids"), F.slice(F.sort_array("asks"), 1, depth).alias("asks"))
+    met = met.agg(F.first("e._row").alias("_row"), F.collect_list(F.when(F.col("l.side") == "bid", one)).alias("bids"), F.collect_list(F.when(F.col("l.side") == "ask", one)).alias("asks"))
+    tops = {"bids": F.slice(F.sort_array("bids", False), 1, depth), "asks": F.slice(F.sort_array("asks"), 1, depth)}
+    return met.select(*keys, "ord", "_row.*", *[F.when(F.col("_row.live"), c).alias(n) for n, c in tops.items()])
 
 
-def applied(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
-    """Book rows with the outcome of each (result), and bids and asks after it where it reached the book.
+def states(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
+    """All rows with the outcome of each (result), and bids and asks after it where the book can be read.
 
     events: a market-event stream with ``ord`` and ``ep`` (``sequence.ordered``).
     Snapshots come out SEEDED or, crossed, INVALID; updates APPLIED, DUPLICATE,
-    GAP, CROSSED or NOT_SYNCED. After a gap or a crossed book nothing is readable
-    until the next snapshot.
+    GAP, CROSSED or NOT_SYNCED; trades TRADE. After a gap or a crossed book nothing
+    is readable until the next snapshot.
     """
-    rows = sequenced(events.where("type <> 'trade'"), keys)
-    tops = top_levels(rows.where("live"), depth, keys)
-    rows = rows.drop("bids", "asks", "advanced", "seen").join(tops, [*keys, "ord"], "left")
+    rows = with_top_levels(sequenced(events, keys).drop("advanced", "seen"), depth, keys)
     crossed = F.coalesce((F.size("bids") > 0) & (F.size("asks") > 0) & (F.try_element_at("bids", F.lit(1))["price"] >= F.try_element_at("asks", F.lit(1))["price"]), F.lit(False))
     rows = rows.withColumn("crossed", crossed)
     broken = F.coalesce(F.max(F.col("gap") | F.col("crossed")).over(before(*keys, "ep")), F.lit(False))
     result = (
-        F.when(F.col("type") == "snapshot", F.when(F.col("crossed"), "INVALID").otherwise("SEEDED"))
+        F.when(F.col("type") == "trade", "TRADE")
+        .when(F.col("type") == "snapshot", F.when(F.col("crossed"), "INVALID").otherwise("SEEDED"))
         .when((F.col("ep") == 0) | broken, "NOT_SYNCED")
         .when(F.col("dup"), "DUPLICATE")
         .when(F.col("gap"), "GAP")
         .when(F.col("crossed"), "CROSSED")
         .otherwise("APPLIED")
     )
-    rows = rows.withColumn("result", result).drop("dup", "gap", "live", "crossed")
+    rows = rows.withColumn("result", result).drop("dup", "gap", "live", "crossed", "ep_end")
     readable = F.col("result").isin("SEEDED", "APPLIED")
     return rows.withColumns({c: F.when(readable, F.col(c)) for c in ("bids", "asks")})
 
 
+def applied(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
+    """``states`` of snapshots and updates alone."""
+    return states(events.where("type <> 'trade'"), depth, keys)
+
+
 def book_as_of(events: DataFrame, moment: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
     """The readable book at or before each (keys, session, capture_seq) of moment; no row where the book is invalid then."""
     rows = applied(ordered(events, keys), depth, keys)

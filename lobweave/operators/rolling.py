@@ -29,9 +29,13 @@ def windowed_sums(rows: DataFrame, partition: list[str], now: str, width: int, e
     so_far = Window.partitionBy(*partition).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     staged = rows.withColumns({f"_{n}": v for n, v in zero.items()}).withColumn("_entry", entry)
     totals = staged.withColumns({f"_all_{n}": F.sum(f"_{n}").over(so_far) for n in values})
-    names = list(values)
-    anchors = totals.select(*partition, (F.col(now) - width).alias("_key"), F.lit(0).alias("_kind"), *[F.lit(None).cast(totals.schema[f"_{n}"].dataType).alias(f"_{n}") for n in names], F.struct(*[F.col(c) for c in (*rows.columns, *[f"_all_{n}" for n in names])]).alias("_row"))
-    entries = totals.where("_entry").select(*partition, F.col(entry_clock).alias("_key"), F.lit(1).alias("_kind"), *[F.col(f"_{n}") for n in names], F.lit(None).cast(anchors.schema["_row"].dataType).alias("_row"))
+    # each row once as an anchor at the window's far edge, and once more as an entry if it is one: a single pass over rows
+    kept = F.struct(*[F.col(c) for c in (*rows.columns, *[f"_all_{n}" for n in values])])
+    kind = totals.select(kept.alias("r")).schema["r"].dataType
+    zeros = [F.lit(None).cast(totals.schema[f"_{n}"].dataType).alias(f"_{n}") for n in values]
+    anchor = F.struct((F.col(now) - width).alias("_key"), F.lit(0).alias("_kind"), *zeros, kept.alias("_row"))
+    member = F.struct(F.col(entry_clock).alias("_key"), F.lit(1).alias("_kind"), *[F.col(f"_{n}") for n in values], F.lit(None).cast(kind).alias("_row"))
+    both = totals.select(*partition, F.inline(F.when(F.col("_entry"), F.array(anchor, member)).otherwise(F.array(anchor))))
     merged = Window.partitionBy(*partition).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = anchors.unionByName(entries).withColumns({f"_out_{n}": F.sum(f"_{n}").over(merged) for n in names}).where("_kind = 0")
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rows.columns], *[(F.col(f"_row._all_{n}") - F.coalesce(f"_out_{n}", F.lit(0))).alias(n) for n in names])
+    out = both.withColumns({f"_out_{n}": F.sum(f"_{n}").over(merged) for n in values}).where("_kind = 0")
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rows.columns], *[(F.col(f"_row._all_{n}") - F.coalesce(f"_out_{n}", F.lit(0))).alias(n) for n in values])

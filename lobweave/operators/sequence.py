@@ -27,21 +27,21 @@ def ordered(events: DataFrame, keys=KEYS) -> DataFrame:
     return events.withColumns({"ord": F.row_number().over(w).cast("bigint"), "ep": F.sum((F.col("type") == "snapshot").cast("bigint")).over(so_far)})
 
 
-def sequenced(book_rows: DataFrame, keys=KEYS) -> DataFrame:
-    """Book rows (snapshots, updates) with dup, gap and live: whether the sequence alone lets the row reach the book.
+def sequenced(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows with dup, gap and live: whether the sequence alone lets a snapshot or update reach the book; trades pass by.
 
     Until the first gap of an epoch the largest last_seq so far is the book's
-    own; after it nothing of the epoch counts.
+    own; after it nothing of the epoch counts. ep_end is the epoch's last order.
     """
     w = before(*keys, "ep")
     update = F.col("type") == "book_update"
-    rows = book_rows.withColumn("seen", F.max("last_seq").over(w))
+    rows = rows.withColumns({"seen": F.max("last_seq").over(w), "ep_end": F.max("ord").over(Window.partitionBy(*keys, "ep"))})
     rows = rows.withColumn("dup", F.coalesce(update & (F.col("last_seq") <= F.col("seen")), F.lit(False)))
     rows = rows.withColumn("advanced", F.coalesce(F.sum((update & ~F.col("dup")).cast("int")).over(w), F.lit(0)))
     follows = F.when(F.col("advanced") == 0, F.col("first_seq") <= F.col("seen") + 1).otherwise(F.col("first_seq") == F.col("seen") + 1)
     rows = rows.withColumn("gap", F.coalesce(update & ~F.col("dup") & ~follows, F.lit(False)))
     broken = F.coalesce(F.max("gap").over(w), F.lit(False))
-    return rows.withColumn("live", (F.col("ep") > 0) & ~F.col("dup") & ~F.col("gap") & ~broken)
+    return rows.withColumn("live", (F.col("type") != "trade") & (F.col("ep") > 0) & ~F.col("dup") & ~F.col("gap") & ~broken)
 
 
 def joined_to_snapshot(snapshots: DataFrame, buffered: DataFrame, keys=KEYS) -> DataFrame:

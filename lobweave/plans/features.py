@@ -38,42 +38,40 @@ def trade_features(trades: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) ->
 
 def observed(events: DataFrame, depth: int = book.DEPTH, keys=KEYS) -> DataFrame:
     """Rows that count: all trades, SEEDED snapshots and APPLIED updates, with the book, now (the clock) and fe (observed snapshots so far)."""
-    rows = ordered(events, keys)
-    books = book.applied(rows, depth, keys).where("result IN ('SEEDED', 'APPLIED')")
-    trades = rows.where("type = 'trade'").drop("bids", "asks")
-    every = books.unionByName(trades, allowMissingColumns=True)
+    every = book.states(ordered(events, keys), depth, keys).where("result IN ('TRADE', 'SEEDED', 'APPLIED')")
     so_far = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return every.withColumns({"now": clock("timestamp_ns", *keys), "fe": F.sum((F.col("type") == "snapshot").cast("bigint")).over(so_far)})
 
 
 def flow_windows(rows: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) -> DataFrame:
-    """Book rows of ``observed`` with holed, ofi, returns and squares over the window, within one flow epoch."""
+    """Book rows of ``observed``, with bid and ask (the best levels), and holed, ofi, returns and squares over the window, within one flow epoch."""
     by = [*keys, "fe"]
     update = F.col("type") == "book_update"
     tracking = F.coalesce(F.max(update).over(before(*keys)), F.lit(False))
     rows = rows.where("type <> 'trade'").withColumn("_hole", F.when((F.col("type") == "snapshot") & tracking, F.col("now") + window_ns))
     rows = rows.withColumn("holed", F.coalesce(F.col("now") < F.max("_hole").over(Window.partitionBy(*by)), F.lit(False)))
-    rows = rows.withColumns({"_bid": f.best("bids"), "_ask": f.best("asks")}).withColumn("_mid", f.midprice(F.col("_bid"), F.col("_ask")))
     w = Window.partitionBy(*by).orderBy("ord")
-    rows = rows.withColumns({f"{c}0": F.lag(c).over(w) for c in ("_bid", "_ask", "_mid")})
+    rows = rows.withColumns({f"_{c}0": F.lag(c).over(w) for c in ("bid", "ask")})
+    mid0, mid = f.midprice(F.col("_bid0"), F.col("_ask0")), f.midprice(F.col("bid"), F.col("ask"))
     rows = rows.withColumns({
-        "_flow": F.when(update, f.order_flow(F.col("_bid0"), F.col("_ask0"), F.col("_bid"), F.col("_ask"))),
-        "_square": F.when(update, f.squared_return(F.col("_mid0"), F.col("_mid"))).cast("decimal(34,30)"),
-    })
+        "_flow": F.when(update, f.order_flow(F.col("_bid0"), F.col("_ask0"), F.col("bid"), F.col("ask"))),
+        "_square": F.when(update, f.squared_return(mid0, mid)).cast("decimal(34,30)"),
+    }).drop("_bid0", "_ask0")
     values = {"ofi": F.col("_flow"), "returns": F.when(F.col("_square").isNotNull(), F.lit(1)), "squares": F.col("_square")}
-    return windowed_sums(rows, by, "now", window_ns, update, "now", values).drop("_bid", "_ask", "_mid", "_bid0", "_ask0", "_mid0", "_flow", "_square", "_hole")
+    return windowed_sums(rows, by, "now", window_ns, update, "now", values).drop("_flow", "_square", "_hole")
 
 
 def feature_rows(events: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) -> DataFrame:
     """One row for each APPLIED update: keys, session, capture_seq, timestamp_ns and all features in computing types."""
-    rows = observed(events, keys=keys)
-    trades = trade_windows(rows, window_ns, keys).where("type = 'book_update'").select(*keys, "ord", "volume", "notional", "bought", "sold")
-    books = flow_windows(rows, window_ns, keys).where("type = 'book_update'")
-    out = books.join(trades, [*keys, "ord"])
+    names = [*keys, "session", "capture_seq", "timestamp_ns", "ord", "type", "now", "fe", "price", "quantity", "aggressor"]
+    instant = [build().alias(name) for name, build in f.INSTANT.items()]  # taken here, so no later sort carries the levels
+    rows = observed(events, keys=keys).select(*names, f.best("bids").alias("bid"), f.best("asks").alias("ask"), *instant)
+    rows = trade_windows(rows, window_ns, keys).drop("price", "quantity", "aggressor")
+    out = flow_windows(rows, window_ns, keys).where("type = 'book_update'")
     known = ~F.col("holed")
     return out.select(
         *keys, "session", "capture_seq", "timestamp_ns", "ord",
-        *[build().alias(name) for name, build in f.INSTANT.items()],
+        *f.INSTANT,
         ratio(F.col("notional"), F.col("volume")).alias("vwap"),
         ratio(F.col("bought") - F.col("sold"), F.col("bought") + F.col("sold")).alias("trade_imbalance"),
         F.when(known, F.col("ofi")).alias("order_flow_imbalance"),
@@ -88,8 +86,7 @@ def stored_features(rows: DataFrame) -> DataFrame:
 
 def outcome_counts(events: DataFrame, keys=KEYS) -> DataFrame:
     """events, trades, snapshots, applied, rejected for each instrument; rejected is every update that wasn't applied."""
-    rows = ordered(events, keys)
-    done = book.applied(rows, keys=keys).select(*keys, "result").unionByName(rows.where("type = 'trade'").select(*keys, F.lit("TRADE").alias("result")))
+    done = book.states(ordered(events, keys), keys=keys)
     count = lambda *names: F.count_if(F.col("result").isin(*names))
     return done.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
