@@ -23,7 +23,9 @@ removed; bytes covered by a removed window go, judged on the input.
 Copies of a whole text are settled by their digest and identical contexts of a
 key within one input partition by the first of them, so a passage or document
 in a third of all rows reaches its bucket once for each partition and not once
-for each row.
+for each row. Keys with very many anchors (at the edges of such a passage every
+context is another) are sent to all, a list of bounded length; their windows
+travel by hash instead.
 
 Null text is empty; a null doc_id comes after all others; texts under ``size``
 bytes keep everything; repeated rows (doc_id and text) are one document and
@@ -46,7 +48,8 @@ from pyspark.sql import types as T
 from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
 SIZE, REACH, GRAM = 100, 50, 8
-COPY, ENTRY, MANY, TABLE = 0, 1, 2, 3  # kinds of packed rows
+COPY, ENTRY, MANY, TABLE, HOT = 0, 1, 2, 3, 4  # kinds of packed rows
+HOT_LEAST, HOT_SHARE, HOT_KEYS = 1_000, 1e-4, 1_000_000  # anchors, and anchors for each document, from which a key is hot; keys sent to all
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _KEEP_HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -71,9 +74,9 @@ def anchors(data: np.ndarray, size: int = SIZE, reach: int = REACH) -> tuple[np.
     return at[first], first, np.concatenate([first[1:], [n]]) - 1
 
 
-def _context_keys(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _context_keys(data: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the length bytes from each position on."""
-    out = np.zeros(len(at), np.uint64)
+    out = np.full(len(at), seed, np.uint64)
     for k in range(0, length - 7, 8):
         word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at + k]).view(np.uint64)[:, 0]
         out = mixed(out ^ word) * _POWER
@@ -116,19 +119,30 @@ def _parse(size: int, reach: int, buckets: int):
         once = order[begin[length == 1]]
         yield from dealt(ENTRY, part, buckets, key[once], key[once], once.astype(np.uint32))
         many = key[order[begin[length > 1]]]
-        yield from dealt(MANY, part, buckets, many, many)
+        yield from dealt(MANY, part, buckets, many, many, length[length > 1].astype(np.int64))
         rest = np.sort(order[np.repeat(length > 1, length)]).astype(np.uint32)
         yield packed([(ENTRY, part, -1, None, rest.tobytes())])
 
     return parse
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(hot_least: int):
+    return lambda batches: _met(batches, hot_least)
+
+
+def _met(batches: Iterator[pa.RecordBatch], hot_least: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket: anchors whose key occurs again, and documents whose text a smaller one has."""
     rows = gathered(batches)
     for r in rows.get(TABLE, []):
         yield packed([(TABLE, r["part"], 0, r["a"], r["b"], r["c"])])
     entries = []
+    if rows.get(MANY):  # only such keys can be hot: others come once from each partition
+        key, n = joined_blobs(rows[MANY], "a", np.uint64), joined_blobs(rows[MANY], "b", np.int64)
+        key, group = np.unique(key, return_inverse=True)
+        total = np.bincount(group, n).astype(np.int64)
+        hot = total >= hot_least
+        if hot.any():
+            yield packed([(HOT, 0, 0, key[hot].tobytes(), total[hot].tobytes())])
     for r in rows.get(ENTRY, []):
         if r["bucket"] < 0:
             yield packed([(ENTRY, r["part"], 0, None, r["b"])])
@@ -170,16 +184,22 @@ def _by_part(kind: int, part: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.R
         yield packed(out)
 
 
-CANDIDATES = "k1 long, k2 long, whole boolean, ordinals binary"
+CANDIDATES = "hot boolean, k1 long, k2 long, whole boolean, ordinals binary"
 
 
 def _to_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts' entries as one row for each document that has any; ordinals count its anchors (uint32)."""
+    """The parts' entries as one row for each document that has any; ordinals count its anchors (uint32).
+
+    Rows marked hot are no documents but keys (k1) and their numbers of anchors (k2).
+    """
     tables, entries, copies = {}, {}, {}
     for rows in gathered(batches).values():
         for r in rows:
             if r["kind"] == TABLE:
                 tables[r["part"]] = r
+            elif r["kind"] == HOT:
+                key, n = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(key)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.bool_()), pa.nulls(len(key), pa.binary())], names=["hot", "k1", "k2", "whole", "ordinals"])
             else:
                 (entries if r["kind"] == ENTRY else copies).setdefault(r["part"], []).append(r["b" if r["kind"] == ENTRY else "e"])
     for part, r in tables.items():
@@ -192,13 +212,37 @@ def _to_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.searchsorted(doc, np.arange(len(k1) + 1))
         some = np.flatnonzero(whole | (cut[1:] > cut[:-1]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1[some]), pa.array(k2[some]), pa.array(whole[some]), pa.array([b"" if whole[i] else ordinal[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())],
-            names=["k1", "k2", "whole", "ordinals"],
+            [pa.array([False] * len(some), pa.bool_()), pa.array(k1[some]), pa.array(k2[some]), pa.array(whole[some]), pa.array([b"" if whole[i] else ordinal[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())],
+            names=["hot", "k1", "k2", "whole", "ordinals"],
         )
 
 
-def _contexts(size: int, reach: int, buckets: int):
-    """Left and right parts of the anchors that meet others, by bucket of their key; equal ones of a partition once."""
+def _repeats(h1: np.ndarray, h2: np.ndarray, k1: np.ndarray, k2: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first window of each hash, and of those elsewhere that come after it."""
+    order = np.lexsort((start, k2, k1, h2, h1))
+    same = np.concatenate([[False], (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])])
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    elsewhere = (k1[order] != k1[first]) | (k2[order] != k2[first]) | (start[order] != start[first])
+    return order[~same], order[same & elsewhere]
+
+
+def _runs(k1: np.ndarray, k2: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows as runs of neighbouring starts: k1, k2, first, last."""
+    order = np.lexsort((start, k2, k1))
+    k1, k2, start = k1[order], k2[order], start[order]
+    new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] > start[:-1] + 1)]) if len(k1) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(k1)]]).astype(np.int64) - 1 if len(first) else first
+    return k1[first], k2[first], start[first].astype(np.int32), start[last].astype(np.int32)
+
+
+def _contexts(size: int, reach: int, buckets: int, hot_keys):
+    """Left and right parts of the anchors that meet others, by bucket of their key; equal ones of a partition once.
+
+    Of hot keys the windows themselves go, each hash once from a partition, by
+    bucket of the hash: a key's anchors may be too many for one task, a window's
+    are one for each partition.
+    """
     span = reach - 1
     middle = size + 1 - reach
 
@@ -222,7 +266,19 @@ def _contexts(size: int, reach: int, buckets: int):
             ids = np.stack([k1[lead], k2[lead]], axis=1)
             yield from dealt(0, part, buckets, key[lead], key[lead], ids, at[lead].astype(np.int32), reachd[lead], left[lead], right[lead])
 
-        held, seen = 0, set()
+        hot, windows = hot_keys.value, [[] for _ in range(5)]
+
+        def flush_windows() -> Iterator[pa.RecordBatch]:
+            h1, h2, k1, k2, start = (np.concatenate(c) for c in windows)
+            for c in windows:
+                c.clear()
+            first, later = _repeats(h1, h2, k1, k2, start)
+            if len(later):
+                yield packed([(1, part, -1, *[x.tobytes() for x in _runs(k1[later], k2[later], start[later])])])
+            yield from dealt(2, part, buckets, h1[first], h1[first], h2[first], np.stack([k1[first], k2[first]], axis=1), start[first].astype(np.int32))
+
+        held = held_windows = 0
+        seen = set()
         for batch in batches:
             wanted = batch["ordinals"]
             for i, (a, b, data) in enumerate(_bytes(batch)):
@@ -231,6 +287,21 @@ def _contexts(size: int, reach: int, buckets: int):
                     continue
                 seen.add((a, b))
                 at, s_from, s_to = (x[chosen] for x in anchors(data, size, reach))
+                key = _context_keys(data, at, middle)
+                if len(hot):
+                    often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    if often.any():
+                        width = (s_to - s_from + 1)[often]
+                        start = np.repeat(s_from[often] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                        for c, x in zip(windows, (_context_keys(data, start, size), _context_keys(data, start, size, 1), np.full(len(start), a), np.full(len(start), b), start)):
+                            c.append(x)
+                        held_windows += len(start)
+                        at, s_from, s_to, key = (x[~often] for x in (at, s_from, s_to, key))
+                        if held_windows > 2_000_000:
+                            yield from flush_windows()
+                            held_windows = 0
+                    if not len(at):
+                        continue
                 low, high = at - s_to, at - s_from  # offsets of the trigger in its windows
                 room = np.minimum(len(data) - (at + middle), span)
                 wide = np.concatenate([np.zeros(span, np.uint8), data, np.zeros(span + 8, np.uint8)])
@@ -242,7 +313,7 @@ def _contexts(size: int, reach: int, buckets: int):
                 right[np.arange(span)[None, :] >= reachable[:, None]] = 0
                 packed_ints = (low | high << 8 | reachable << 16).astype(np.uint32)
                 n = len(at)
-                for c, x in zip(cols, (_context_keys(data, at, middle), np.full(n, a), np.full(n, b), at, packed_ints, left, right)):
+                for c, x in zip(cols, (key, np.full(n, a), np.full(n, b), at, packed_ints, left, right)):
                     c.append(x)
                 held += n
             if held > 400_000:
@@ -250,6 +321,8 @@ def _contexts(size: int, reach: int, buckets: int):
                 held = 0
         if held:
             yield from flush()
+        if held_windows:
+            yield from flush_windows()
 
     return contexts
 
@@ -303,6 +376,12 @@ def _resolve(reach: int):
         rows = gathered(batches)
         for r in rows.get(1, []):
             yield emit(*(np.frombuffer(r[c], np.int64) for c in "ab"), *(np.frombuffer(r[c], np.int32) for c in "cd"))
+        if windows := rows.get(2, []):
+            h1, h2 = (joined_blobs(windows, c, np.uint64) for c in "ab")
+            k = joined_blobs(windows, "c", np.int64).reshape(-1, 2)
+            start = joined_blobs(windows, "d", np.int32).astype(np.int64)
+            later = _repeats(h1, h2, k[:, 0], k[:, 1], start)[1]
+            yield emit(*_runs(k[later, 0], k[later, 1], start[later]))
         if not (rows := rows.get(0, [])):
             return
         span = reach - 1
@@ -316,30 +395,28 @@ def _resolve(reach: int):
         if not hits:
             return
         who, offset = (np.concatenate(x) for x in zip(*hits))
-        start = at[who] - offset
-        order = np.lexsort((start, who))
-        who, start = who[order], start[order]
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)])
-        begin = np.flatnonzero(new)
-        end = np.concatenate([begin[1:], [len(who)]]) - 1
-        yield emit(ids[who[begin], 0], ids[who[begin], 1], start[begin], start[end])
+        yield emit(*_runs(ids[who, 0], ids[who, 1], at[who] - offset))
 
     return resolve
 
 
-def spans(docs: DataFrame, size: int = SIZE, reach: int = REACH) -> DataFrame:
+def spans(docs: DataFrame, size: int = SIZE, reach: int = REACH, hot_least: int = HOT_LEAST, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row (k1, k2, whole, windows) for each document that loses bytes: its removed window starts as runs, or all of it."""
     if not 2 * GRAM < reach <= size // 2:
         raise ValueError("reach must lie between the gram and half the size")
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = n
     texts = row_keys(docs)
     parsed = by_bucket(texts.mapInArrow(_parse(size, reach, buckets), PACKED), n)
-    met = parsed.mapInArrow(_meet, PACKED)
-    candidates = saved(met.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(_to_docs, CANDIDATES).groupBy("k1", "k2").agg(F.min("whole").alias("whole"), F.max("ordinals").alias("ordinals")), "suffix-candidates")
+    met = parsed.mapInArrow(_meet(hot_least), PACKED)
+    candidates = saved(met.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(_to_docs, CANDIDATES).groupBy("hot", "k1", "k2").agg(F.min("whole").alias("whole"), F.max("ordinals").alias("ordinals")), "suffix-candidates")
+    keys, candidates = candidates.where("hot"), candidates.where("not hot").drop("hot")
+    least = max(hot_least, int(hot_share * texts.select("k1").count()))  # so there are at most anchors of an average text / share of them
+    hot = keys.where(F.col("k2") >= least).orderBy(F.desc("k2"), "k1").limit(HOT_KEYS).select("k1").collect()
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r.k1 for r in hot], np.int64).view(np.uint64)))
     wanted = candidates.where("not whole")
-    met = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "ordinals").mapInArrow(_contexts(size, reach, buckets), PACKED)
+    met = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "ordinals").mapInArrow(_contexts(size, reach, buckets, hot), PACKED)
     found = by_bucket(met, n).mapInArrow(_resolve(reach), SPANS)
     windows = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
     return windows.select("k1", "k2", F.lit(False).alias("whole"), "windows").union(candidates.where("whole").select("k1", "k2", "whole", F.array().cast("array<struct<first:int,last:int>>")))

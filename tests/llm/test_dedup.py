@@ -157,6 +157,21 @@ def test_suffix_against_brute_force(spark, tmp_path, seed):
     assert got == suffix_brute(rows)
 
 
+def test_suffix_hot_keys_by_window(spark):
+    """A passage in most documents: its keys are hot, and windows at its edges differ from document to document."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("xyz \u00e9") for _ in range(rng.randint(0, 90))) + (passage if i % 4 else "") + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows += [rows[5], (100, passage * 2)]
+    want = suffix_brute(rows)
+    for least in (5, 40, 10**9):
+        gone = {}
+        for r in suffix_dedup.spans(table(spark, rows, parts=3), hot_least=least, hot_share=0).collect():
+            n = next(len(t.encode()) for i, t in rows if i == r.k1)
+            gone[r.k1] = sum(b - a for a, b in suffix_dedup._cut(b"x" * n, r.whole, r.windows, 100))
+        assert gone == {i: w[1] for i, w in want.items() if w[1]}
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(0)
     for data in (rng.integers(0, 3, 700).astype(np.uint8), np.zeros(300, np.uint8), rng.integers(0, 255, 100).astype(np.uint8)):
