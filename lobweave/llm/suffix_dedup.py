@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
 SIZE, REACH, GRAM = 100, 50, 8
-COPY, ENTRY, MANY, TABLE, HOT = 0, 1, 2, 3, 4  # kinds of packed rows
+COPY, ENTRY, MANY, TABLE, HOT, REST = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 HOT_LEAST, HOT_SHARE, HOT_KEYS = 1_000, 1e-4, 1_000_000  # anchors, and anchors for each document, from which a key is hot; keys sent to all
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _KEEP_HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -121,7 +121,7 @@ def _parse(size: int, reach: int, buckets: int):
         many = key[order[begin[length > 1]]]
         yield from dealt(MANY, part, buckets, many, many, length[length > 1].astype(np.int64))
         rest = np.sort(order[np.repeat(length > 1, length)]).astype(np.uint32)
-        yield packed([(ENTRY, part, -1, None, rest.tobytes())])
+        yield packed([(REST, part, part % buckets, rest.tobytes())])
 
     return parse
 
@@ -135,7 +135,6 @@ def _met(batches: Iterator[pa.RecordBatch], hot_least: int) -> Iterator[pa.Recor
     rows = gathered(batches)
     for r in rows.get(TABLE, []):
         yield packed([(TABLE, r["part"], 0, r["a"], r["b"], r["c"])])
-    entries = []
     if rows.get(MANY):  # only such keys can be hot: others come once from each partition
         key, n = joined_blobs(rows[MANY], "a", np.uint64), joined_blobs(rows[MANY], "b", np.int64)
         key, group = np.unique(key, return_inverse=True)
@@ -143,12 +142,9 @@ def _met(batches: Iterator[pa.RecordBatch], hot_least: int) -> Iterator[pa.Recor
         hot = total >= hot_least
         if hot.any():
             yield packed([(HOT, 0, 0, key[hot].tobytes(), total[hot].tobytes())])
-    for r in rows.get(ENTRY, []):
-        if r["bucket"] < 0:
-            yield packed([(ENTRY, r["part"], 0, None, r["b"])])
-        else:
-            entries.append(r)
-    if entries:
+    for r in rows.get(REST, []):
+        yield packed([(ENTRY, r["part"], 0, None, r["a"])])
+    if entries := rows.get(ENTRY, []):
         key, at = joined_blobs(entries, "a", np.uint64), joined_blobs(entries, "b", np.uint32)
         part = np.repeat([r["part"] for r in entries], [len(r["b"]) // 4 for r in entries])
         many = joined_blobs(rows.get(MANY, []), "a", np.uint64)
@@ -262,7 +258,7 @@ def _contexts(size: int, reach: int, buckets: int, hot_keys):
             lead = np.sort(order[first])
             if len(later):
                 lo, hi, _ = _fields(reachd[later])
-                yield packed([(1, part, -1, k1[later].tobytes(), k2[later].tobytes(), (at[later] - hi).astype(np.int32).tobytes(), (at[later] - lo).astype(np.int32).tobytes())])
+                yield packed([(1, part, part % buckets, k1[later].tobytes(), k2[later].tobytes(), (at[later] - hi).astype(np.int32).tobytes(), (at[later] - lo).astype(np.int32).tobytes())])
             ids = np.stack([k1[lead], k2[lead]], axis=1)
             yield from dealt(0, part, buckets, key[lead], key[lead], ids, at[lead].astype(np.int32), reachd[lead], left[lead], right[lead])
 
@@ -274,7 +270,7 @@ def _contexts(size: int, reach: int, buckets: int, hot_keys):
                 c.clear()
             first, later = _repeats(h1, h2, k1, k2, start)
             if len(later):
-                yield packed([(1, part, -1, *[x.tobytes() for x in _runs(k1[later], k2[later], start[later])])])
+                yield packed([(1, part, part % buckets, *[x.tobytes() for x in _runs(k1[later], k2[later], start[later])])])
             yield from dealt(2, part, buckets, h1[first], h1[first], h2[first], np.stack([k1[first], k2[first]], axis=1), start[first].astype(np.int32))
 
         held = held_windows = 0
