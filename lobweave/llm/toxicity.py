@@ -60,7 +60,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the words and stems, and their values."""
     words = text.encode().lower().split()
     slots, n = np.unique(np.fromiter(chain.from_iterable(map(_slots, words)), np.int32), return_counts=True)
-    return slots, 1 + np.log(n)
+    return slots, (1 + np.log(n)).astype(np.float32)
 
 
 @dataclass
@@ -89,10 +89,15 @@ class _Rows:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(s) for s, _ in rows])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s, _ in rows])
         self.slot = np.concatenate([s for s, _ in rows]) if rows else np.zeros(0, np.int32)
         self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
 
+    def only(self, slots: np.ndarray) -> None:
+        """Leave out all other slots."""
+        keep = slots[self.slot]
+        self.row, self.slot, self.value = self.row[keep], self.slot[keep], self.value[keep].astype(np.float64)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.slot] * self.value, self.n)
 
@@ -110,7 +115,7 @@ def telling_slots(rows: _Rows, toxic: np.ndarray, odds: float) -> np.ndarray:
 def severity_grades(rows: _Rows, toxic: np.ndarray) -> np.ndarray:
     """0 for clean rows; for toxic ones 1 to GRADES - 1 by the number of words that tell toxic texts from clean ones."""
     telling = telling_slots(rows, toxic == 1, 3.0)
-    count = np.bincount(rows.row, telling[rows.slot] * np.exp(rows.value - 1), rows.n)
+    count = np.bincount(rows.row, telling[rows.slot] * np.exp(rows.value.astype(np.float64) - 1), rows.n)
     edges = np.quantile(count[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     return np.where(toxic == 1, 1 + np.searchsorted(edges, count, side="right"), 0)
 
@@ -120,6 +125,7 @@ def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -
     every = [features(t) for t in texts]
     rest = np.arange(len(texts)) % 5 == 0
     rows, held = _Rows([f for f, r in zip(every, rest) if not r]), _Rows([f for f, r in zip(every, rest) if r])
+    del every
     y = severity_grades(rows, toxic[~rest]) if grades is None else grades[~rest]
     k = np.arange(y.max())
     over = (y[:, None] > k).astype(float)
@@ -127,6 +133,8 @@ def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -
     share = np.clip(over.mean(axis=0), 1e-4, 1 - 1e-4)
     first, gaps = np.log((1 - share[0]) / share[0]), np.log(np.maximum(np.diff(np.log((1 - share) / share)), 0.1))
     seen = telling_slots(rows, y > 0, 1.0)
+    for part in (rows, held):
+        part.only(seen)
     w = np.zeros(SLOTS)
     sums = {"w": np.full(SLOTS, 1e-8), "f": 1e-8, "g": np.full(len(gaps), 1e-8)}
     for _ in range(STEPS):
@@ -137,7 +145,7 @@ def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -
         p = np.maximum(wide[np.arange(rows.n), y] - wide[np.arange(rows.n), y + 1], 1e-9)
         slope = np.concatenate([np.zeros((rows.n, 1)), above * (1 - above), np.zeros((rows.n, 1))], axis=1)
         up, down = slope[np.arange(rows.n), y] / p, slope[np.arange(rows.n), y + 1] / p  # of log p in s below and above the grade
-        gw = (rows.back(up - down) / rows.n - RIDGE * w) * seen
+        gw = rows.back(up - down) / rows.n - RIDGE * w
         g_theta = np.array([(down[y == j].sum() - up[y == j + 1].sum()) / rows.n for j in k])
         gg = np.array([g_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
         for name, g in (("w", gw), ("f", g_theta.sum()), ("g", gg)):
