@@ -503,7 +503,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = n
     texts = row_keys(docs)
     often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
