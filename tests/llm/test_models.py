@@ -135,6 +135,42 @@ def test_url_likelihood_is_the_recursion():
         assert url_filter.Grams([u]).log_likelihood(table_)[0] == pytest.approx(direct(u))
 
 
+def test_url_counts_are_exact_for_many_grams(spark):
+    """No n-gram reads another one's count, however many there are."""
+    rng = random.Random(5)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(30))
+    urls = [(make("abcdefghijklmnopqrstuvwxyz0123456789"), True) for _ in range(1500)] + [(make("ghijklmnopqrstuvwxyz0123456789-_"), False) for _ in range(1500)]
+    labelled_urls = spark.createDataFrame(urls, "url string, accepted boolean").repartition(3)
+    model = url_filter.train(labelled_urls)
+    kept = labelled_urls.where(f"pmod(xxhash64(url), {url_filter.FOLDS}) <> 0").collect()
+    grams, contexts = {}, {}
+    for u, accepted in kept:
+        t = "\2" + u
+        for i in range(1, len(t)):
+            for k in range(1, url_filter.ORDER + 1):
+                if i - (k - 1) >= 0:
+                    key = (accepted, t[i - k + 1 : i], k)
+                    contexts[key] = contexts.get(key, 0) + 1
+                    grams[key, t[i]] = grams.get((key, t[i]), 0) + 1
+
+    def direct(u):
+        t, total = "\2" + u, 0.0
+        for i in range(1, len(t)):
+            p = {True: 1 / 256, False: 1 / 256}
+            for k in range(1, url_filter.ORDER + 1):
+                if i - (k - 1) >= 0:
+                    for a in p:
+                        key = (a, t[i - k + 1 : i], k)
+                        p[a] = (grams.get((key, t[i]), 0) + p[a]) / (contexts.get(key, 0) + 1)
+            total += np.log(max(p[True], 1e-12)) - np.log(max(p[False], 1e-12))
+        return total / (len(t) - 1)
+
+    asked = [u for u, _ in urls[::100]] + [make("abcxyz019-") for _ in range(30)]
+    assert model.scores(asked) == pytest.approx([direct(u) for u in asked])
+    got = {r.url: r.score for r in model.scored(url_filter.chunked(spark.createDataFrame([(u,) for u in asked], "url string"))).collect()}
+    assert [got[u] for u in asked] == pytest.approx([direct(u) for u in asked])
+
+
 # --- chat
 
 
