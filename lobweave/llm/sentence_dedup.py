@@ -8,6 +8,14 @@ hashed (128 bits) over their words, A-Z lower-cased, and joined over the whole
 corpus; of equal spans the first by doc_id and place stays, and every sentence
 that another one covers is removed.
 
+That is the rule of the query's SQL (``whole=False``). It misses passages of
+fewer than ``RUN`` whole clauses and the short last clauses of a repeated run.
+By default the operator therefore does more: runs of two sentences will do, the
+shortest run that ends at each sentence is a span as well, marks of other scripts
+end sentences, each character of a script without spaces is a word, and a
+sentence of more than ``WORDS`` words is cut after words chosen by their hash (so
+that equal passages are cut alike), and after ``WORDS`` words at the latest.
+
 Only the first span of a key leaves an input partition, later ones are settled
 there; so a passage that a third of all rows hold is one row for each partition.
 
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +44,47 @@ from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, pac
 RUN, WORDS = 3, 16
 ENDS = r".!?;:,\n"
 _UNIT = re.compile(rf"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+".encode())
+_MORE = r".!?;:,\n\u2026\u3002\u3001\uff01\uff1f\uff1b\uff1a\uff0c\uff0e\u061f\u061b\u060c\u06d4\u0964\u0965\u1362\u104b\u17d4"
+_MORE_UNIT = re.compile(rf"[^{_MORE}]*[{_MORE}]+|[^{_MORE}]+")
+_SPACE = "\t-\r "  # the white space of bytes.split
+_WORD = re.compile(rf"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^{_SPACE}\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_CUT = 6  # one word in so many ends a piece of an over-long sentence
 _POWER = 0x9E3779B97F4A7C15 | 1
 ENTRY, LATER = 0, 1
 
 
+def _pieces(text: str, words: int) -> list[tuple[int, list[bytes]]]:
+    """Length in bytes and words of each sentence, over-long ones cut."""
+    out = []
+    for unit in _MORE_UNIT.findall(text):
+        if unit.isascii():
+            split = unit.encode().split()
+            if len(split) <= words:
+                out.append((len(unit), split))
+                continue
+        found = list(_WORD.finditer(unit))
+        start, held = 0, []
+        for i, w in enumerate(found):
+            held.append(w.group().encode())
+            if len(found) > words and i + 1 < len(found) and (len(held) >= words or zlib.crc32(held[-1]) % _CUT == 0):
+                out.append((len(unit[start : w.end()].encode()), held))
+                start, held = w.end(), []
+        out.append((len(unit[start:].encode()), held))
+    return out
+
+
 class Sentences:
-    """The sentences of a text (bytes) and the spans that start at them."""
+    """The sentences of a text (bytes) and the spans among them."""
 
-    def __init__(self, data: bytes, run: int = RUN, words: int = WORDS):
-        units = _UNIT.findall(data.lower())
-        self.ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        split = [u.split() for u in units]
+    def __init__(self, data: bytes, run: int = RUN, words: int = WORDS, whole: bool = True):
+        if whole:
+            pieces = _pieces(data.lower().decode(), words)
+            sizes, split = [k for k, _ in pieces], [w for _, w in pieces]
+            run = min(run, 2)
+        else:
+            units = _UNIT.findall(data.lower())
+            sizes, split = [len(u) for u in units], [u.split() for u in units]
+        self.ends = np.cumsum(np.array(sizes, np.int64))
         n = np.fromiter(map(len, split), np.int64, len(split))
         self.worded = np.flatnonzero(n)  # sentences without words lie between
         total = np.concatenate([[0], np.cumsum(n[self.worded])])
@@ -54,6 +93,12 @@ class Sentences:
         last = np.maximum(last, np.arange(m) + run)
         self.first = np.flatnonzero(last <= m)
         self.last = last[self.first] - 1
+        if whole and len(self.first):  # the shortest run that ends at each sentence
+            start = np.searchsorted(total, total[1:] - words, side="right") - 1
+            start = np.minimum(start, np.arange(m) + 1 - run)
+            end = np.flatnonzero(start >= 0)
+            both = np.unique(np.concatenate([self.first * m + self.last, start[end] * m + end]))  # by place
+            self.first, self.last = both // m, both % m
         if len(self.first):
             digest = b"".join(hashlib.blake2b(b" ".join(split[i]), digest_size=16).digest() for i in self.worded)
             lanes = np.frombuffer(digest, np.uint64).reshape(-1, 2)
@@ -82,13 +127,13 @@ def _later(h1, h2, k1, k2, at) -> tuple[np.ndarray, np.ndarray]:
     return order[~same], order[same & elsewhere]
 
 
-def _spans(run: int, words: int, buckets: int):
+def _spans(run: int, words: int, whole: bool, buckets: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = part_id()
         keys, docs, counts = [], [], []
         for batch in batches:
             for a, b, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].to_pylist()):
-                s = Sentences(text.encode(), run, words)
+                s = Sentences(text.encode(), run, words, whole)
                 if len(s.first):
                     keys.append(s.keys)
                     docs.append((a, b))
@@ -128,11 +173,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(k1[cut]), pa.array(k2[cut]), pa.array([at[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["k1", "k2", "spans"])
 
 
-def removed(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def removed(docs: DataFrame, run: int = RUN, words: int = WORDS, whole: bool = True) -> DataFrame:
     """docs' rows with row, n_sentences, n_removed, spans (array of start, length in bytes) and new (the text that stays)."""
     n = partitions(docs.sparkSession)
     buckets = 4 * n
-    met = by_bucket(row_keys(docs).mapInArrow(_spans(run, words, buckets), PACKED), n).mapInArrow(_meet, FOUND)
+    met = by_bucket(row_keys(docs).mapInArrow(_spans(run, words, whole, buckets), PACKED), n).mapInArrow(_meet, FOUND)
     found = met.groupBy("k1", "k2").agg(F.collect_list("spans").alias("found"))
     rows = keyed(docs).join(found.hint("merge"), ["k1", "k2"], "left")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).schema["row"]
@@ -144,12 +189,12 @@ def removed(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
             for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist()):
                 data = (text or "").encode()
                 if not found:
-                    total.append(len(_UNIT.findall(data)))
+                    total.append(len(_pieces(text or "", words)) if whole else len(_UNIT.findall(data)))
                     gone.append(0)
                     spans.append([])
                     new.append(text or "")
                     continue
-                s = Sentences(data, run, words)
+                s = Sentences(data, run, words, whole)
                 covered = s.covered(np.unique(np.frombuffer(b"".join(found), np.int32)))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                 starts = np.concatenate([[0], s.ends])
@@ -165,9 +210,9 @@ def removed(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     return rows.select("row", F.col("row.text").alias("text"), "found").mapInArrow(cut, schema)
 
 
-def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS, whole: bool = True) -> DataFrame:
     """docs with the removed sentences cut from text; texts that become empty drop out; n_chars, where there is one, is set anew."""
-    out = removed(docs, run, words)
+    out = removed(docs, run, words, whole)
     cut = F.col("n_removed") > 0
     out = out.where(~(cut & (F.length("new") == 0)))
     value = {"text": F.when(cut, F.col("new")).otherwise(F.col("row.text")), "n_chars": F.when(cut, F.length("new")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
@@ -176,7 +221,7 @@ def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
 
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removed(docs).select("row.doc_id", "n_sentences", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("new").cast("binary"), 256).alias("kept_sha256"))
+    return removed(docs, whole=False).select("row.doc_id", "n_sentences", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("new").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = {

@@ -126,6 +126,25 @@ def test_sentences_repeats_across_partitions(spark):
     assert "p" in out[0].split(". ")[1] and all(passage[10:60] not in out[i] for i in range(1, 40))
 
 
+def test_sentences_whole_runs(spark):
+    """Passages of two long sentences, without marks or spaces, and the short last clauses of a run."""
+    rng = random.Random(4)
+    new = lambda n, p="x": [f"{p}{rng.randrange(10**6)}" for _ in range(n)]
+    two = " ".join(new(30, "a")) + ". " + " ".join(new(30, "a")) + "."
+    bars = " | ".join(new(60, "b"))
+    tail = " ".join(new(8, "t")) + ", " + " ".join(new(9, "t")) + "; " + " ".join(new(8, "t")) + ". short one. tiny."
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)) + "\u3002"
+    around = lambda x, end: f"{' '.join(new(12))}. {x}{end} {' '.join(new(12))}."
+    rows = [(2 * i + k, around(x, end)) for i, (x, end) in enumerate([(two, ""), (bars, " |"), (tail, ""), (han, "")]) for k in (0, 1)]
+    out = {r.row.doc_id: (r.n_removed, r.new) for r in sentence_dedup.removed(table(spark, rows)).collect()}
+    assert all(out[i] == (0, rows[i][1]) for i in (0, 2, 4, 6))
+    assert out[1][1].count(" a") == 0
+    assert out[3][1].count("b") <= 2 * sentence_dedup.WORDS
+    assert "tiny" not in out[5][1] and " t" not in out[5][1]
+    assert sum(c > "\u3400" for c in out[7][1]) <= 2 * sentence_dedup.WORDS
+    assert all(len(out[i][1].split()) >= 24 for i in (1, 3, 5, 7))
+
+
 # --- suffix array
 
 
