@@ -204,21 +204,30 @@ def _ranked(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(index: DataFrame, router: Router | None, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for rows vec_id, vector of queries."""
+    """query_id, rank, vec_id, score of the k nearest found for rows vec_id, vector of queries.
+
+    A query goes down its ranking for the router's number of probes, and on until
+    the parts hold k others besides.
+    """
     spark = index.sparkSession
     out = "query_id long, vec_id long, score double"
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(router)
     blocks = {r.part: -(-r["count"] // BLOCK) for r in index.groupBy("part").count().collect()}  # one row for each part
+    ids = index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").count().collect()  # an id in several parts counts in one
+    held_ids = np.zeros(sent.value.b2.shape[0], np.int64)
+    held_ids[[r.part for r in ids]] = [r["count"] for r in ids]
     of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                parts = sent.value.likeliest(_matrix(batch["vector"]), sent.value.probes)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), parts.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(parts.ravel().astype(np.int32)), batch["vec_id"].take(at), batch["vector"].take(at)], names=["part", "vec_id", "vector"])
+                parts = sent.value.likeliest(_matrix(batch["vector"]), len(held_ids))
+                short = np.cumsum(held_ids[parts], axis=1) - held_ids[parts] <= k  # the parts before hold fewer than k and the query
+                probed = short | (np.arange(len(held_ids)) < sent.value.probes)
+                at = pa.array(np.nonzero(probed)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(parts[probed].astype(np.int32)), batch["vec_id"].take(at), batch["vector"].take(at)], names=["part", "vec_id", "vector"])
 
     def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]

@@ -270,6 +270,17 @@ def test_few_and_no_vectors(spark):
     assert neighbours.search(index, router, index, 5).count() == 0
 
 
+def test_small_parts_still_give_k(spark):
+    """A query whose probed parts hold too few candidates goes on to other parts."""
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(clustered(3, 600))] + [(5, [1.0] * 24)]
+    table_ = neighbours.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index, router = neighbours.build_index(table_, parts=16)
+    router.probes = 1
+    for k in (150, 700):
+        found = neighbours.search(index, router, index.where("vec_id % 60 = 0"), k).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in found} == {i: min(k, 599) for i in range(0, 600, 60)}
+
+
 def test_parts_are_balanced():
     x = neighbours.unit(clustered(2, 1000))
     parts = neighbours.balanced_parts(neighbours.nearest(x, x, 10), 8)
