@@ -1,20 +1,27 @@
 """Packing of documents into token windows by the sum-of-squares rule.
 
 Documents come in the order of their input partition and are placed at once.
-Whole windows are cut off a long document; the rest goes to the fill level that
-makes the sum of the squared counts of partially filled windows least (a new
-window is one of the choices; ties go to the fuller one). An array holds the
-count of windows at each level. At the end of a partition, or when its open
-windows reach a bound, what is still open is cut anew: full windows, then one
-remainder split into sequences whose lengths are powers of two, which need no
-padding. So no partition has any padding, whatever its size.
+Whole windows are cut off a long document; of the rest as many whole units of
+``UNIT`` tokens as there are go to the fill level (a multiple of the unit) that
+makes the sum of the squared counts of partially filled windows least; a new
+window is one of the choices, and ties go to the fuller one. An array holds the
+count of windows at each level. The few tokens beyond the last whole unit join
+those of the documents before, and each unit that they fill is placed by the same
+rule. A piece may also be cut so that it completes a window and its rest is
+placed anew; that counts as ``CUT`` more squares, so it happens only where
+windows pile up at a level, as with many documents of one length. So the levels
+stay low, whatever the input, and the windows held open are bounded by the levels
+and not by the partition.
+
+At the end of a partition the windows still open stay as the rule filled them;
+each ends as sequences whose lengths are powers of two, which need no padding.
 
 No shuffle: each input partition packs its own documents and numbers its
 sequences within its own range, so a lost task is redone with equal results.
 
-A null text is empty and is the end token alone; rows are packed one by one,
-repeats too; a null doc_id stays null; an empty table gives an empty result;
-other columns are not returned.
+A null text is empty and is the end token alone; texts of any length are encoded
+whole; rows are packed one by one, repeats too; a null doc_id stays null; an empty
+table gives an empty result; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -32,72 +39,111 @@ from pyspark.sql import functions as F
 from .common import part_id
 
 LENGTH, END = 2048, 1
-OPEN = 4096  # windows a partition holds open
+UNIT, CUT = 128, 16  # tokens of a level; squares that a cut counts as
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class SumOfSquares:
     """Online packing of (tag, start, ids) pieces into windows of a length; yields sequences as lists of pieces."""
 
-    def __init__(self, length: int, most_open: int = OPEN):
-        self.length, self.most_open = length, most_open
-        self.level = np.zeros(length + 1, np.int64)  # windows at each fill; none are kept at 0 and at length
-        self.windows: list[list[list]] = [[] for _ in range(length)]
-        self.open = 0
-
-    def _best(self, size: int) -> int:
-        """The level to place size tokens on; 0 is a new window."""
-        n, top = self.level, self.length - size
-        gain = 1 - 2 * n[: top + 1]  # a window leaves its level
-        gain[0] = 0
-        gain = gain + 2 * n[size:] + 1  # and comes to another one
-        gain[top] -= 2 * n[self.length] + 1  # a full window isn't counted
-        may = n[: top + 1] > 0
-        may[0] = True
-        gain = np.where(may, gain, np.iinfo(np.int64).max)
-        return top - int(gain[::-1].argmin())
+    def __init__(self, length: int, unit: int = UNIT):
+        if length & (length - 1) or length % unit:
+            raise ValueError("the length must be a power of two and a multiple of the unit")
+        self.length, self.unit, self.top = length, unit, length // unit
+        self.level = [0] * (self.top + 1)  # windows at each fill in units; none are kept at 0 and at the top
+        self.windows: list[list[list]] = [[] for _ in self.level]
+        self.tail: list[tuple] = []  # pieces short of a unit
+        self.tail_size = 0
+
+    @property
+    def open(self) -> int:
+        return sum(self.level)
+
+    def _whole(self, size: int, level: list[int]) -> tuple[int, int]:
+        """(change of the sum of squares, level) of the best place for size units; level 0 is a new window."""
+        best = None
+        for at in range(self.top - size, -1, -1):
+            if at and not level[at]:
+                continue
+            change = (1 - 2 * level[at] if at else 0) + (2 * level[at + size] + 1 if at + size < self.top else 0)
+            if best is None or change < best[0]:
+                best = (change, at)
+        return best
+
+    def _cut(self, size: int) -> tuple[int, int] | None:
+        """(change, level) of the best window that a part of size units completes, its rest placed whole."""
+        best = None
+        for at in range(self.top - 1, self.top - size, -1):
+            if self.level[at]:
+                after = list(self.level)
+                after[at] -= 1
+                change = 1 - 2 * self.level[at] + self._whole(size - (self.top - at), after)[0] + CUT
+                if best is None or change < best[0]:
+                    best = (change, at)
+        return best
+
+    def best(self, size: int) -> tuple[int, int]:
+        """(change, level) of the best place for size units; they are cut where the level has less room."""
+        whole, cut = self._whole(size, self.level), self._cut(size)
+        return cut if cut and cut[0] < whole[0] else whole
+
+    def _put(self, pieces: list[tuple], size: int) -> Iterator[list]:
+        _, at = self.best(size)
+        if at + size > self.top:
+            first, rest = self._split(pieces, (self.top - at) * self.unit)
+            yield self._fill(at, first, self.top - at)
+            pieces, size = rest, size - (self.top - at)
+            at = self._whole(size, self.level)[1]
+        if full := self._fill(at, pieces, size):
+            yield full
+
+    def _fill(self, at: int, pieces: list[tuple], size: int) -> list | None:
+        window = self.windows[at].pop() if at else []
+        window += pieces
+        if at:
+            self.level[at] -= 1
+        if at + size == self.top:
+            return window
+        self.level[at + size] += 1
+        self.windows[at + size].append(window)
+        return None
+
+    @staticmethod
+    def _split(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
+        """Pieces cut after size tokens."""
+        first = []
+        for k, (tag, start, ids) in enumerate(pieces):
+            if len(ids) > size:
+                return first + [(tag, start, ids[:size])] * (size > 0), [(tag, start + size, ids[size:]), *pieces[k + 1 :]]
+            first.append((tag, start, ids))
+            size -= len(ids)
+        return first, []
 
     def place(self, tag, ids: np.ndarray) -> Iterator[list]:
         cut = len(ids) // self.length * self.length
         for at in range(0, cut, self.length):
             yield [(tag, at, ids[at : at + self.length])]
-        size = len(ids) - cut
-        if not size:
-            return
-        at = self._best(size)
-        window = self.windows[at].pop() if at else []
-        self.open += not at
-        window.append((tag, cut, ids[cut:]))
-        if at:
-            self.level[at] -= 1
-        if at + size == self.length:
-            self.open -= 1
-            yield window
-        else:
-            self.level[at + size] += 1
-            self.windows[at + size].append(window)
-        if self.open >= self.most_open:
-            yield from self.close()
+        units, tail = divmod(len(ids) - cut, self.unit)
+        if units:
+            yield from self._put([(tag, cut, ids[cut : cut + units * self.unit])], units)
+        if tail:
+            self.tail.append((tag, len(ids) - tail, ids[len(ids) - tail :]))
+            self.tail_size += tail
+            if self.tail_size >= self.unit:
+                unit, self.tail = self._split(self.tail, self.unit)
+                self.tail_size -= self.unit
+                yield from self._put(unit, 1)
 
     def close(self) -> Iterator[list]:
-        """All open windows cut anew, the fuller first, into whole windows and powers of two."""
-        pieces = [p for at in range(self.length - 1, 0, -1) for w in self.windows[at] for p in w]
-        left = int((self.level * np.arange(self.length + 1)).sum())
-        self.level[:] = 0
-        self.windows = [[] for _ in range(self.length)]
-        self.open = 0
-        sequence, room = [], 0
-        for tag, start, ids in pieces:
-            while len(ids):
-                if not room:
-                    room = self.length if left >= self.length else 1 << (left.bit_length() - 1)
-                    left -= room
-                take = min(room, len(ids))
-                sequence.append((tag, start, ids[:take]))
-                room, start, ids = room - take, start + take, ids[take:]
-                if not room:
-                    yield sequence
-                    sequence = []
+        """The windows still open as they stand, the fuller first, and the tail; each in sequences of powers of two."""
+        left = [w for at in range(self.top - 1, 0, -1) for w in self.windows[at]] + [self.tail] * (self.tail_size > 0)
+        self.__init__(self.length, self.unit)
+        for window in left:
+            size = sum(len(ids) for _, _, ids in window)
+            while size:
+                sequence, window = self._split(window, 1 << size.bit_length() - 1)
+                size -= 1 << size.bit_length() - 1
+                yield sequence
 
 
 def _byte_of() -> dict[str, int]:
@@ -111,8 +157,9 @@ class TokenIds:
     """The ids that tokenizers gives with a byte-level BPE file.
 
     Where the file's merges are the order of its ids, tiktoken's merge engine
-    gives the same ids several times faster; else, and for texts that hold an
-    added token's string, the tokenizer itself is called.
+    gives the same ids several times faster; else, for texts that hold an added
+    token's string, and for those that the engine refuses (over 500,000 spaces on
+    end are more than its pattern can take), the tokenizer itself is called.
     """
 
     def __init__(self, path: str):
@@ -139,7 +186,10 @@ class TokenIds:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and not any(x in text for x in self.added):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the pattern's stack; the tokenizer has none
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
