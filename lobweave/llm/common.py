@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = 2**63 - 1
+TASK = 128 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PACKED = "kind int, part int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 _PACKED = pa.schema([(n, pa.int32()) for n in ("kind", "part", "bucket")] + [(n, pa.binary()) for n in "abcdef"])
@@ -54,8 +55,10 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def partitions(texts: DataFrame) -> int:
+    """How many partitions the work on texts is dealt over: those that the session names, or more where a task would get over ``TASK`` bytes of text."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // TASK))
 
 
 def lowered(text: Column) -> Column:

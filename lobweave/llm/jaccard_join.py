@@ -502,9 +502,9 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     shingles of so many words.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = n
     texts = row_keys(docs)
+    n = partitions(texts)
+    buckets = n
     often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
     routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, spark.sparkContext.broadcast(often)), PACKED), n)

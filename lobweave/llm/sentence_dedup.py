@@ -1,29 +1,29 @@
 """Removal of repeated runs of sentences.
 
-A text is cut after runs of . ! ? ; : , and line ends (so clauses count as
-sentences); the pieces together are the text. From each sentence a span starts:
-the shortest run of at least ``RUN`` sentences that has at least ``WORDS``
-words, so that chains of one-word sentences don't match by chance. Spans are
-hashed (128 bits) over their words, A-Z lower-cased, and joined over the whole
-corpus; of equal spans the first by doc_id and place stays, and every sentence
-that another one covers is removed.
-
-That is the rule of the query's SQL (``whole=False``). It misses passages of
-fewer than ``RUN`` whole clauses and the short last clauses of a repeated run.
-By default the operator therefore does more: runs of two sentences will do, the
-shortest run that ends at each sentence is a span as well, marks of other scripts
-end sentences, each character of a script without spaces is a word, and a
-sentence of more than ``WORDS`` words is cut after words chosen by their hash (so
-that equal passages are cut alike), and after ``WORDS`` words at the latest.
+A text is cut into sentences after runs of . ! ? ; : , and line ends (so a
+clause counts as a sentence); the pieces together are the text. Sentences
+without words only lie between others. Every run of ``RUN`` consecutive sentences
+is a span, if it has at least ``WORDS`` words, so that three one-word sentences
+don't match by chance. Spans are hashed (128 bits) over the words of each of
+their sentences, A-Z lower-cased, and joined over the whole corpus; of equal
+spans the first by doc_id and place stays, and every sentence that another one
+covers is removed.
+
+That is the rule of the query and its SQL (``whole=False``). By default the
+operator tells more sentences apart: marks of other scripts end them, each
+character of a script without spaces is a word, and a sentence of more than
+``LONG`` words is cut after words chosen by their hash (so that equal passages
+are cut alike), after ``LONG`` words at the latest and never into pieces of fewer
+than ``LEAST``. The runs are the same.
 
 Only the first span of a key leaves an input partition, later ones are settled
 there; so a passage that a third of all rows hold is one row for each partition.
 
 Null text is empty; a null doc_id comes after all others; a text with fewer
-sentences or words than a span keeps everything; repeated rows (doc_id and text)
-are one document and share its result; rows of one doc_id with different texts
-are ordered by a hash of the text; an empty table gives an empty result; other
-columns pass through ``dedup`` untouched.
+sentences or words than a span keeps everything; texts of any length are cut
+whole; repeated rows (doc_id and text) are one document and share its result; rows
+of one doc_id with different texts are ordered by a hash of the text; an empty
+table gives an empty result; other columns pass through ``dedup`` untouched.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ from pyspark.sql import types as T
 
 from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, packed, part_id, partitions, row_keys
 
-RUN, WORDS = 3, 16
+RUN, WORDS = 3, 12
+LONG, LEAST = 16, 4  # words of a sentence that isn't cut; words of a cut one's piece at least
 ENDS = r".!?;:,\n"
 _UNIT = re.compile(rf"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+".encode())
 _MORE = r".!?;:,\n\u2026\u3002\u3001\uff01\uff1f\uff1b\uff1a\uff0c\uff0e\u061f\u061b\u060c\u06d4\u0964\u0965\u1362\u104b\u17d4"
@@ -49,24 +50,24 @@ _MORE_UNIT = re.compile(rf"[^{_MORE}]*[{_MORE}]+|[^{_MORE}]+")
 _SPACE = "\t-\r "  # the white space of bytes.split
 _WORD = re.compile(rf"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^{_SPACE}\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 _CUT = 6  # one word in so many ends a piece of an over-long sentence
-_POWER = 0x9E3779B97F4A7C15 | 1
+_POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 ENTRY, LATER = 0, 1
 
 
-def _pieces(text: str, words: int) -> list[tuple[int, list[bytes]]]:
+def _pieces(text: str, long: int) -> list[tuple[int, list[bytes]]]:
     """Length in bytes and words of each sentence, over-long ones cut."""
     out = []
     for unit in _MORE_UNIT.findall(text):
         if unit.isascii():
             split = unit.encode().split()
-            if len(split) <= words:
+            if len(split) <= long:
                 out.append((len(unit), split))
                 continue
         found = list(_WORD.finditer(unit))
         start, held = 0, []
         for i, w in enumerate(found):
             held.append(w.group().encode())
-            if len(found) > words and i + 1 < len(found) and (len(held) >= words or zlib.crc32(held[-1]) % _CUT == 0):
+            if len(found) > long and LEAST <= min(len(held), len(found) - i - 1) and (len(held) >= long or zlib.crc32(held[-1]) % _CUT == 0):
                 out.append((len(unit[start : w.end()].encode()), held))
                 start, held = w.end(), []
         out.append((len(unit[start:].encode()), held))
@@ -78,9 +79,8 @@ class Sentences:
 
     def __init__(self, data: bytes, run: int = RUN, words: int = WORDS, whole: bool = True):
         if whole:
-            pieces = _pieces(data.lower().decode(), words)
+            pieces = _pieces(data.lower().decode(), LONG)
             sizes, split = [k for k, _ in pieces], [w for _, w in pieces]
-            run = min(run, 2)
         else:
             units = _UNIT.findall(data.lower())
             sizes, split = [len(u) for u in units], [u.split() for u in units]
@@ -88,27 +88,14 @@ class Sentences:
         n = np.fromiter(map(len, split), np.int64, len(split))
         self.worded = np.flatnonzero(n)  # sentences without words lie between
         total = np.concatenate([[0], np.cumsum(n[self.worded])])
-        m = len(self.worded)
-        last = np.searchsorted(total, total[:-1] + words, side="left")  # so many sentences reach the words
-        last = np.maximum(last, np.arange(m) + run)
-        self.first = np.flatnonzero(last <= m)
-        self.last = last[self.first] - 1
-        if whole and len(self.first):  # the shortest run that ends at each sentence
-            start = np.searchsorted(total, total[1:] - words, side="right") - 1
-            start = np.minimum(start, np.arange(m) + 1 - run)
-            end = np.flatnonzero(start >= 0)
-            both = np.unique(np.concatenate([self.first * m + self.last, start[end] * m + end]))  # by place
-            self.first, self.last = both // m, both % m
+        self.first = np.flatnonzero(total[run:] - total[:-run] >= words)
+        self.last = self.first + run - 1
+        self.keys = np.zeros((len(self.first), 2), np.uint64)
         if len(self.first):
             digest = b"".join(hashlib.blake2b(b" ".join(split[i]), digest_size=16).digest() for i in self.worded)
             lanes = np.frombuffer(digest, np.uint64).reshape(-1, 2)
-            up = np.cumprod(np.full(m, _POWER, np.uint64), dtype=np.uint64)
-            down = np.cumprod(np.full(m, pow(_POWER, -1, 2**64), np.uint64), dtype=np.uint64)
-            sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(lanes * up[:, None], axis=0, dtype=np.uint64)])
-            self.keys = (sums[self.last + 1] - sums[self.first]) * down[self.first][:, None]
-            self.keys[:, 1] += (self.last - self.first).astype(np.uint64)
-        else:
-            self.keys = np.zeros((0, 2), np.uint64)
+            for k in range(run):
+                self.keys = self.keys * _POWER + lanes[self.first + k]
 
     def covered(self, spans: np.ndarray) -> np.ndarray:
         """Which sentences the spans of these numbers cover."""
@@ -175,9 +162,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, run: int = RUN, words: int = WORDS, whole: bool = True) -> DataFrame:
     """docs' rows with row, n_sentences, n_removed, spans (array of start, length in bytes) and new (the text that stays)."""
-    n = partitions(docs.sparkSession)
+    texts = row_keys(docs)
+    n = partitions(texts)
     buckets = 4 * n
-    met = by_bucket(row_keys(docs).mapInArrow(_spans(run, words, whole, buckets), PACKED), n).mapInArrow(_meet, FOUND)
+    met = by_bucket(texts.mapInArrow(_spans(run, words, whole, buckets), PACKED), n).mapInArrow(_meet, FOUND)
     found = met.groupBy("k1", "k2").agg(F.collect_list("spans").alias("found"))
     rows = keyed(docs).join(found.hint("merge"), ["k1", "k2"], "left")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).schema["row"]
@@ -189,7 +177,7 @@ def removed(docs: DataFrame, run: int = RUN, words: int = WORDS, whole: bool = T
             for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist()):
                 data = (text or "").encode()
                 if not found:
-                    total.append(len(_pieces(text or "", words)) if whole else len(_UNIT.findall(data)))
+                    total.append(len(_pieces((text or "").lower(), LONG)) if whole else len(_UNIT.findall(data)))
                     gone.append(0)
                     spans.append([])
                     new.append(text or "")
@@ -229,10 +217,9 @@ SQL = {
     WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?;:,\n]*[.!?;:,\n]+|[^.!?;:,\n]+') AS s FROM documents),
     u AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS u, unnest(s) AS s FROM t),
     v AS (SELECT *, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM u),
-    x AS (SELECT doc_id, u, array_to_string(w, ' ') AS w, row_number() OVER p AS i, sum(len(w)) OVER p AS total, len(w) AS n FROM v WHERE len(w) > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY u)),
-    e AS (SELECT a.doc_id, a.i, min(b.i) AS e FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 2 AND a.i + 15 AND b.total - a.total + a.n >= 16 GROUP BY ALL),
-    k AS (SELECT e.doc_id, e.i, e.e, min(x.u) AS a, max(x.u) AS z, string_agg(x.w, chr(10) ORDER BY x.i) AS k FROM e JOIN x ON x.doc_id = e.doc_id AND x.i BETWEEN e.i AND e.e GROUP BY ALL),
-    l AS (SELECT doc_id, a, z FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+    x AS (SELECT doc_id, u, array_to_string(w, ' ') AS w, len(w) AS n FROM v WHERE len(w) > 0),
+    k AS (SELECT doc_id, u AS a, lead(u, 2) OVER p AS z, n + lead(n) OVER p + lead(n, 2) OVER p AS n, w || chr(10) || lead(w) OVER p || chr(10) || lead(w, 2) OVER p AS k FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY u)),
+    l AS (SELECT doc_id, a, z FROM k WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1),
     c AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS u FROM l),
     m AS (SELECT u.doc_id, u.u, u.s, c.u IS NOT NULL AS gone FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.u = u.u),
     n AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY u), false) AS new FROM m),

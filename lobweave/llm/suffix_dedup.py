@@ -401,9 +401,9 @@ def spans(docs: DataFrame, size: int = SIZE, reach: int = REACH, hot_least: int
     if not 2 * GRAM < reach <= size // 2:
         raise ValueError("reach must lie between the gram and half the size")
     spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = n
     texts = row_keys(docs)
+    n = partitions(texts)
+    buckets = n
     parsed = by_bucket(texts.mapInArrow(_parse(size, reach, buckets), PACKED), n)
     met = parsed.mapInArrow(_meet(hot_least), PACKED)
     candidates = saved(met.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(_to_docs, CANDIDATES).groupBy("hot", "k1", "k2").agg(F.min("whole").alias("whole"), F.max("ordinals").alias("ordinals")), "suffix-candidates")

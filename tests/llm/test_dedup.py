@@ -108,6 +108,47 @@ def test_tree_search_loses_nothing():
 # --- sentences
 
 
+def sentence_brute(rows, run=3, words=12):
+    """(doc_id, n_sentences, n_removed, n_spans, kept_sha256) by the definition, character by character."""
+    cut = {}
+    for i, t in sorted(dict(rows).items()):
+        units, now = [], ""
+        for c in t or "":
+            if now and now[-1] in ".!?;:,\n" and c not in ".!?;:,\n":
+                units.append(now)
+                now = ""
+            now += c
+        cut[i] = units + [now] * bool(now)
+    seen, out = set(), []
+    for i, units in cut.items():
+        said = [(k, low(u).encode().split()) for k, u in enumerate(units)]
+        said = [(k, w) for k, w in said if w]
+        gone = [False] * len(units)
+        for j in range(len(said) - run + 1):
+            span = tuple(tuple(w) for _, w in said[j : j + run])
+            if sum(map(len, span)) < words:
+                continue
+            if span in seen:
+                gone[said[j][0] : said[j + run - 1][0] + 1] = [True] * (said[j + run - 1][0] + 1 - said[j][0])
+            seen.add(span)
+        kept = "".join(u for u, g in zip(units, gone) if not g)
+        out.append((i, len(units), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sentences_against_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(rng.choice(["aa", "B", "c\u00e9", "dd"]) for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 20]))) + rng.choice([". ", "!? ", ", ", ";", "\n", ":\n\n", " . "])
+    pool = [sentence() for _ in range(30)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 9))] for _ in range(12)]
+    rows = [(i, "".join(x if rng.random() < 0.9 else x.upper() for _ in range(rng.randint(0, 4)) for x in rng.choice([rng.choice(passages), [sentence()]])) + rng.choice(["", "an end"])) for i in range(70)]
+    rows += [(80, None), (81, ""), (82, "a. b. c. " * 3000), (83, ". , ;"), (84, "no mark " * 400), (85, "no mark " * 400)]
+    rows += [rows[3], rows[9]]
+    got = {tuple(r) for r in sentence_dedup.op9_sentence_span_dedup(spark, saved(spark, tmp_path, rows)).collect()}
+    assert got == set(sentence_brute(rows))
+
+
 def test_sentences_example(spark):
     lead = "one two three four five, six seven eight nine ten; eleven twelve thirteen fourteen fifteen sixteen."
     rows = [(1, f"First words here. {lead} the end"), (2, f"other start! {lead} other end"), (3, lead + lead), (4, None), (5, "short. short. short.")]
@@ -132,16 +173,16 @@ def test_sentences_whole_runs(spark):
     new = lambda n, p="x": [f"{p}{rng.randrange(10**6)}" for _ in range(n)]
     two = " ".join(new(30, "a")) + ". " + " ".join(new(30, "a")) + "."
     bars = " | ".join(new(60, "b"))
-    tail = " ".join(new(8, "t")) + ", " + " ".join(new(9, "t")) + "; " + " ".join(new(8, "t")) + ". short one. tiny."
+    tail = " ".join(new(8, "t")) + ", " + " ".join(new(9, "t")) + "; " + " ".join(new(8, "t")) + ". short one here. tiny."
     han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)) + "\u3002"
     around = lambda x, end: f"{' '.join(new(12))}. {x}{end} {' '.join(new(12))}."
     rows = [(2 * i + k, around(x, end)) for i, (x, end) in enumerate([(two, ""), (bars, " |"), (tail, ""), (han, "")]) for k in (0, 1)]
     out = {r.row.doc_id: (r.n_removed, r.new) for r in sentence_dedup.removed(table(spark, rows)).collect()}
     assert all(out[i] == (0, rows[i][1]) for i in (0, 2, 4, 6))
     assert out[1][1].count(" a") == 0
-    assert out[3][1].count("b") <= 2 * sentence_dedup.WORDS
+    assert out[3][1].count("b") <= 2 * sentence_dedup.LONG
     assert "tiny" not in out[5][1] and " t" not in out[5][1]
-    assert sum(c > "\u3400" for c in out[7][1]) <= 2 * sentence_dedup.WORDS
+    assert sum(c > "\u3400" for c in out[7][1]) <= 2 * sentence_dedup.LONG
     assert all(len(out[i][1].split()) >= 24 for i in (1, 3, 5, 7))
 
 
