@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed, partitions, saved
+from .common import lowered, mixed, saved
 
 LEAST = -(2**63)
+SHARD = 500_000  # digests of a shard
 GAMMA, LEVELS = 2.0, 64
 INDEX = "shard int, levels array<binary>, digests binary, winners binary, counts binary"
 GROUPS = "digest binary, keep_id long, group_size long"
@@ -130,18 +131,17 @@ def mark(docs: DataFrame, history: DataFrame | None = None, shards: int | None =
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     history: documents seen before, whose rows count but are not returned; by
-    default the lower half of the doc_id range of docs serves as the history
-    and the upper half is looked up in its index.
+    default the half of docs with the smaller doc_ids serves as the history and
+    the other half is looked up in its index. The index has so many shards that
+    none holds much more than ``SHARD`` digests.
     """
-    spark = docs.sparkSession
-    shards = shards or 2 * partitions(spark)
     rows = saved(digests(docs), "exact-digests")
     if history is None:
-        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-        middle = (low + high) // 2 if low is not None else 0
+        middle = rows.agg(F.percentile_approx("id", 0.5, 1000)).first()[0] or 0
         old, new = rows.where(F.col("id") <= middle), rows.where(F.col("id") > middle)
     else:
         old, new = digests(history), rows
+    shards = shards or max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-(rows.count() if history is None else history.count()) // SHARD))
     index = saved(build_index(grouped(old, shards)), "exact-index")
     groups = lookup(grouped(new, shards), index)
     return rows.join(groups, "digest").select(
