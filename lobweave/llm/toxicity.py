@@ -7,19 +7,20 @@ count; stems tell inflected forms that no sample holds all of. Only words
 that are commoner in graded texts are fitted, under a lasso, so the many words of
 a long text don't add up by chance.
 
-Grades come from a label column: 0 is clean; labelled toxic texts get the grades
-1 to ``GRADES - 1`` by how often words occur that are far more common in toxic
-texts (quantiles over the toxic rows of the fit), so that severity is ordered
-though the label is binary; a table with grades of its own can be given instead.
+Grades come from the labels' column ``grade`` (0 is clean) where there is one.
+Where a label only says toxic or not, toxic texts get the grades 1 to ``GRADES - 1``
+by how often words occur that are far more common in toxic texts (quantiles over
+the toxic rows of the fit), so that severity is ordered though the label is binary.
 
 The fit is on the driver, on at most ``FIT_ROWS`` labelled rows, those of the
-smallest hash of doc_id with both classes kept in the sample in their shares;
-every document is scored whole, in one pass without a shuffle. The threshold on
+smallest hash of doc_id with both classes kept in the sample in their shares; what
+comes there are their features, at most ``SLOTS`` a row however long the text.
+Every document is scored whole, in one pass without a shuffle. The threshold on
 the expected severity is set on a held-out part of the sample. Without labelled
 rows of both classes nothing is rejected.
 
 Null text is empty and has no words; labels that are null or without a document
-are left out; a doc_id with several labels takes the largest; repeated rows score
+are left out; a doc_id with several labels takes the largest label and grade; repeated rows score
 alike; an empty table gives an empty result; other columns pass through
 ``filter_toxic`` untouched.
 """
@@ -120,17 +121,28 @@ def severity_grades(rows: _Rows, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, 1 + np.searchsorted(edges, count, side="right"), 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -> Model:
-    """Maximum penalised likelihood by adaptive gradient steps; the cut is set on every fifth row, which isn't fitted."""
-    every = [features(t) for t in texts]
-    rest = np.arange(len(texts)) % 5 == 0
+def likelihood(rows: _Rows, y: np.ndarray, w: np.ndarray, first: float, gaps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Mean log likelihood of the grades y, and its gradient in the weights, the first threshold and the logs of the gaps between thresholds."""
+    theta = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+    s = rows.dot(w)[:, None] - theta
+    above = 1 / (1 + np.exp(-np.clip(s, -40, 40)))  # P(y > k)
+    edge = np.zeros((rows.n, 1))
+    wide = np.concatenate([edge + 1, above, edge], axis=1)
+    p = np.maximum(wide[np.arange(rows.n), y] - wide[np.arange(rows.n), y + 1], 1e-9)
+    slope = np.concatenate([edge, above * (1 - above), edge], axis=1)
+    up, down = slope[np.arange(rows.n), y] / p, slope[np.arange(rows.n), y + 1] / p  # of log p in s below and above the grade
+    g_theta = np.array([(down[y == j].sum() - up[y == j + 1].sum()) / rows.n for j in range(len(theta))])
+    g_gaps = np.array([g_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
+    return float(np.log(p).mean()), rows.back(up - down) / rows.n, float(g_theta.sum()), g_gaps
+
+
+def fit(every: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: np.ndarray | None = None) -> Model:
+    """Maximum penalised likelihood of rows of features by adaptive gradient steps; the cut is set on every fifth row, which isn't fitted."""
+    rest = np.arange(len(every)) % 5 == 0
     rows, held = _Rows([f for f, r in zip(every, rest) if not r]), _Rows([f for f, r in zip(every, rest) if r])
-    del every
     y = severity_grades(rows, toxic[~rest]) if grades is None else grades[~rest]
-    k = np.arange(y.max())
-    over = (y[:, None] > k).astype(float)
     # the prior thresholds are the logits of the shares
-    share = np.clip(over.mean(axis=0), 1e-4, 1 - 1e-4)
+    share = np.clip((y[:, None] > np.arange(y.max())).mean(axis=0), 1e-4, 1 - 1e-4)
     first, gaps = np.log((1 - share[0]) / share[0]), np.log(np.maximum(np.diff(np.log((1 - share) / share)), 0.1))
     seen = telling_slots(rows, y > 0, 1.0)
     for part in (rows, held):
@@ -138,23 +150,15 @@ def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -
     w = np.zeros(SLOTS)
     sums = {"w": np.full(SLOTS, 1e-8), "f": 1e-8, "g": np.full(len(gaps), 1e-8)}
     for _ in range(STEPS):
-        theta = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        s = rows.dot(w)[:, None] - theta
-        above = 1 / (1 + np.exp(-np.clip(s, -40, 40)))  # P(y > k)
-        wide = np.concatenate([np.ones((rows.n, 1)), above, np.zeros((rows.n, 1))], axis=1)
-        p = np.maximum(wide[np.arange(rows.n), y] - wide[np.arange(rows.n), y + 1], 1e-9)
-        slope = np.concatenate([np.zeros((rows.n, 1)), above * (1 - above), np.zeros((rows.n, 1))], axis=1)
-        up, down = slope[np.arange(rows.n), y] / p, slope[np.arange(rows.n), y + 1] / p  # of log p in s below and above the grade
-        gw = rows.back(up - down) / rows.n - RIDGE * w
-        g_theta = np.array([(down[y == j].sum() - up[y == j + 1].sum()) / rows.n for j in k])
-        gg = np.array([g_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
-        for name, g in (("w", gw), ("f", g_theta.sum()), ("g", gg)):
+        _, gw, g_first, g_gaps = likelihood(rows, y, w, first, gaps)
+        gw -= RIDGE * w
+        for name, g in (("w", gw), ("f", g_first), ("g", g_gaps)):
             sums[name] = sums[name] + g * g
         step = RATE / np.sqrt(sums["w"])
         w += step * gw
         w = np.sign(w) * np.maximum(np.abs(w) - step * LASSO, 0)  # most words get no weight at all
-        first += RATE * g_theta.sum() / np.sqrt(sums["f"])
-        gaps = np.clip(gaps + RATE * gg / np.sqrt(sums["g"]), -4, 4)
+        first += RATE * g_first / np.sqrt(sums["f"])
+        gaps = np.clip(gaps + RATE * g_gaps / np.sqrt(sums["g"]), -4, 4)
     model = Model(w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
     score, bad = model.severity(held.dot(w)), toxic[rest] == 1
     if bad.any() and (~bad).any():
@@ -169,17 +173,29 @@ def fit(texts: list[str], toxic: np.ndarray, grades: np.ndarray | None = None) -
     return model
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots, values = zip(*map(features, batch["text"].to_pylist())) if batch.num_rows else ((), ())
+        cols = [pa.array([x.astype(t).tobytes() for x in c], pa.binary()) for c, t in ((slots, np.int32), (values, np.float32))]
+        yield pa.RecordBatch.from_arrays([batch["h"], batch["grade"], *cols], names=["h", "grade", "slots", "values"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """A model fitted on at most so many labelled rows, or None where a class is missing."""
-    label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """A model fitted on at most so many labelled rows (doc_id, toxic or grade), or None where a class is missing."""
+    graded = "grade" in labels.columns
+    name = "grade" if graded else "toxic"
+    label = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull()).groupBy("doc_id").agg(F.max(name).cast("int").alias("grade"))
     chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = saved(chosen, "toxicity-sample")  # bounded, so it may be sent to all
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sample.orderBy(F.xxhash64("doc_id", "text")).limit(rows).toArrow()
-    toxic = (got["toxic"].to_numpy() > 0).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    if got.num_rows < 10 or not 0 < toxic[np.arange(len(toxic)) % 5 > 0].sum() < (np.arange(len(toxic)) % 5 > 0).sum():
+    got = sample.select(F.xxhash64("doc_id", "text").alias("h"), "grade", "text").mapInArrow(_featured, "h long, grade int, slots binary, values binary").orderBy("h").limit(rows).toArrow()
+    grade = np.maximum(got["grade"].to_numpy(), 0).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
+    toxic = (grade > 0).astype(np.int64)
+    fitted = toxic[np.arange(len(toxic)) % 5 > 0]
+    if len(toxic) < 10 or not 0 < fitted.sum() < len(fitted):
         return None
-    return fit(got["text"].to_pylist(), toxic)
+    every = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(got["slots"].to_pylist(), got["values"].to_pylist())]
+    return fit(every, toxic, grade if graded else None)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -53,10 +53,78 @@ def test_toxicity_without_labels_or_rows(spark):
     assert [r[c] for r in out.collect() for c in CLASHING if c != "a.b"] == [7] * 3 * (len(CLASHING) - 1)
 
 
-def test_cumulative_link_likelihood():
+def test_likelihood_and_gradient_by_definition():
+    """The mean log likelihood row by row from the definition, and its gradient by differences."""
+    rng = np.random.default_rng(0)
+    every = [(np.sort(rng.choice(40, rng.integers(1, 9), replace=False)).astype(np.int32), rng.random(9).astype(np.float32)) for _ in range(60)]
+    every = [(s, v[: len(s)]) for s, v in every]
+    rows, y = toxicity._Rows(every), rng.integers(0, 4, 60)
+    w, first, gaps = np.zeros(toxicity.SLOTS), -0.3, np.array([0.2, -0.4])
+    w[:40] = rng.standard_normal(40)
+
+    def direct(w, first, gaps):
+        theta = [first, first + np.exp(gaps[0]), first + np.exp(gaps[0]) + np.exp(gaps[1])]
+        total = 0.0
+        for (slots, values), grade in zip(every, y):
+            s = sum(float(w[k]) * float(v) for k, v in zip(slots, values))
+            over = [1.0, *(1 / (1 + np.exp(t - s)) for t in theta), 0.0]
+            total += np.log(over[grade] - over[grade + 1])
+        return total / len(every)
+
+    value, gw, g_first, g_gaps = toxicity.likelihood(rows, y, w, first, gaps)
+    assert value == pytest.approx(direct(w, first, gaps))
+    step, bump = 1e-5, lambda x, k: x + np.eye(1, len(x), k)[0] * 1e-5
+    assert g_first == pytest.approx((direct(w, first + step, gaps) - direct(w, first - step, gaps)) / 2 / step, abs=1e-6)
+    for k in (0, 1):
+        assert g_gaps[k] == pytest.approx((direct(w, first, bump(gaps, k)) - value) / step, abs=1e-4)
+    for k in range(0, 40, 7):
+        assert gw[k] == pytest.approx((direct(bump(w, k), first, gaps) - value) / step, abs=1e-4)
+
+
+def test_given_grades_are_predicted(spark):
+    """A labels table with grades: severity follows them on documents that weren't fitted."""
+    levels = [[], ["grumble"], ["scorned", "scornful"], ["vilewort", "wretchy"]]
+
+    def rows(seed, n):
+        rng = random.Random(seed)
+        for i in range(n):
+            grade = rng.choice([0, 0, 0, 1, 2, 3])
+            t = words(rng, rng.randint(5, 80), 3000).split()
+            for _ in range(rng.randint(2, 4) if grade else 0):
+                t.insert(rng.randrange(len(t) + 1), rng.choice(levels[grade]))
+            yield i, " ".join(t), grade
+
+    train, test = list(rows(1, 1200)), list(rows(2, 300))
+    labels = spark.createDataFrame([(i, g) for i, _, g in train] + [(1, None), (None, 2)], "doc_id long, grade int")
+    model = toxicity.train(table(spark, [r[:2] for r in train]), labels)
+    got = {r.row.doc_id: r for r in toxicity.score(table(spark, [r[:2] for r in test]), model).collect()}
+    severity, grade = np.array([got[i].severity for i, _, _ in test]), np.array([g for *_, g in test])
+    means = [severity[grade == g].mean() for g in range(4)]
+    assert means == sorted(means) and means[3] - means[0] > 1.5
+    assert (np.abs(severity - grade) < 1).mean() > 0.8
+
+
+def test_toxicity_query_by_definition(spark, tmp_path):
+    """The query's rows, computed anew from the model's weights over all features of every text."""
+    data = labelled(5, 500) + [(900, None, 0), (901, "", 0), (902, "long vilewort words " * 20_000, 1)]
+    table(spark, [r[:2] for r in data]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, _, t in data], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op1_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    for i, text, _ in data:
+        slots, values = toxicity.features(text or "")
+        s = float((model.weights[slots] * values).sum())
+        over = [1.0, *(1 / (1 + np.exp(t - s)) for t in model.thresholds), 0.0]
+        assert got[i].severity == pytest.approx(sum(over[1:-1]), abs=1e-5)
+        assert got[i].grade == int(np.argmax([a - b for a, b in zip(over, over[1:])]))
+        assert got[i].toxic == (sum(over[1:-1]) >= model.cut)
+
+
+def test_total_by_way_of_weighted_words():
     """The model's total is the same by way of all features and by way of those with a weight."""
     rows = labelled(3, 300)
-    model = toxicity.fit([t for _, t, _ in rows], np.array([x for *_, x in rows]))
+    model = toxicity.fit([toxicity.features(t) for _, t, _ in rows], np.array([x for *_, x in rows]))
     for _, t, _ in rows[:40]:
         slots, values = toxicity.features(t)
         assert model.total(t) == pytest.approx(float((model.weights[slots] * values).sum()))
@@ -190,6 +258,13 @@ def test_template_round_trip():
     ({"instruction": "do", "input": "", "output": "done"}, [("user", "do"), ("assistant", "done")]),
     ({"prompt": "p", "completion": "c", "meta": {"x": [1]}}, [("user", "p"), ("assistant", "c")]),
     ({"system": "s", "question": "q", "answer": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ({"data": {"messages": [{"role": "human", "content": "a"}, {"role": "bot", "content": "b"}]}}, [("user", "a"), ("assistant", "b")]),
+    ({"prompt": {"text": "p"}, "response": {"text": "r", "score": 2}}, [("user", "p"), ("assistant", "r")]),
+    ({"data": {"prompt": "p", "response": "r"}, "id": 1}, [("user", "p"), ("assistant", "r")]),
+    ({"conversation": {"messages": [{"author": {"role": "gpt"}, "content": {"parts": ["a", "b"]}}]}}, [("assistant", "ab")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}, [("user", "ab"), ("assistant", "c")]),
+    ({"messages": []}, []),
+    ({"turns": [{"role": "human", "text": "kept"}, {"role": None, "text": None}]}, [("human", "kept"), ("user", "")]),
 ])
 def test_layouts(record, turns):
     assert chat.Layouts().turns(record) == turns
@@ -197,7 +272,7 @@ def test_layouts(record, turns):
 
 def test_fingerprints_follow_paths_not_values():
     a = chat.fingerprint(chat.field_paths({"m": [{"x": 1}, {"x": 2}], "n": None}))
-    assert a == chat.fingerprint(chat.field_paths({"n": "t", "m": [{"x": []}]})) or True
+    assert a != chat.fingerprint(chat.field_paths({"n": "t", "m": [{"x": []}]}))
     assert a == chat.fingerprint(chat.field_paths({"n": 5, "m": [{"x": "z"}]}))
     assert a != chat.fingerprint(chat.field_paths({"m": [{"y": 1}]}))
 
@@ -206,7 +281,47 @@ def test_broken_records_carry_errors(spark):
     rows = [(1, json.dumps({"prompt": "p", "response": "r"})), (2, "{"), (3, None), (4, '{"odd": 1}'), (5, "[]"), (6, '{"messages": null}')]
     got = {r.id: r for r in chat.format_records(spark.createDataFrame(rows, "c long, j string"), "c", "j").collect()}
     assert got[1].error is None and chat.parsed(got[1].formatted) == [("user", "p"), ("assistant", "r")]
-    assert all(got[i].error and got[i].formatted is None for i in (2, 3, 4, 5))
+    assert all(got[i].error and got[i].formatted is None for i in (2, 3, 4, 5, 6))
+
+
+def test_layouts_meet_in_one_table(spark):
+    """Each row's layout is chosen by its own fingerprint; contents that aren't text are an error, and read back as nulls."""
+    rng = random.Random(2)
+    say = lambda: "".join(rng.choice("ab #<\\:\n</turn>") for _ in range(rng.randrange(20)))
+    make = [
+        lambda u, a: {"messages": [{"role": "user", "content": u}, {"role": "assistant", "content": a}]},
+        lambda u, a: {"data": {"messages": [{"role": "user", "content": [{"type": "text", "text": u}]}, {"role": "assistant", "content": a}]}},
+        lambda u, a: {"conversations": [{"from": "human", "value": u}, {"from": "gpt", "value": a}], "source": {"url": "x"}},
+        lambda u, a: {"prompt": u, "completion": a},
+        lambda u, a: {"instruction": u, "input": "", "output": a, "meta": [1, 2]},
+        lambda u, a: {"question": u, "answer": a},
+    ]
+    said = {i: (say(), say()) for i in range(60)}
+    rows = [(i, json.dumps(make[i % len(make)](u, a))) for i, (u, a) in said.items()]
+    rows += [(100, json.dumps({"messages": [{"role": "user", "content": [{"type": "image", "url": "x"}]}]}))]
+    done = chat.format_records(spark.createDataFrame(rows, "id long, json string").repartition(3), "id", "json")
+    got = {r.id: r for r in done.collect()}
+    assert len({got[i].layout for i in said}) == len(make)
+    assert all(chat.parsed(got[i].formatted) == [("user", u), ("assistant", a)] for i, (u, a) in said.items())
+    assert got[100].formatted is None and "without text" in got[100].error
+    back = {r.conv_id: r for r in chat.read_back(done).collect()}
+    assert back[100].n_turns is None and back[3].n_turns == 2
+    clashing = spark.createDataFrame(rows[:3], "id long, json string").selectExpr("id", "json", "1 layout", "2 formatted", "3 error")
+    assert chat.format_records(clashing, "id", "json").count() == 3 and chat.format_records(clashing.limit(0), "id", "json").count() == 0
+
+
+def test_a_very_long_turn_reads_back():
+    import tracemalloc
+
+    turns = [("user", "\\#<a" * 1_000_000), ("assistant", "b</turn>\n" * 500_000)]
+    text, _ = chat.formatted(turns)
+    tracemalloc.start()
+    assert chat.parsed(text) == turns
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(text)
+    tracemalloc.stop()
+    for broken in ("### user: a", "### user: a</turn>", "### user: a#</turn>\n", "x", "### us:er a</turn>\n"):
+        with pytest.raises(ValueError):
+            chat.parsed(broken)
 
 
 def test_conversations_query(spark, tmp_path):
