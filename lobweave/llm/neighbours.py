@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
 A bounded sample (``SAMPLE`` rows of the smallest hash of vec_id) is joined to a
-graph of nearest neighbours, which recursive bisection cuts into ``PARTS`` parts
-of equal size: each cut is at the median of the graph's second eigenvector and
-then refined by swaps. A small network learns, from a vector's direction, the
+graph of nearest neighbours, which recursive bisection cuts into parts of equal
+size, about as many as the square root of the number of rows (a power of two, at
+most one for each ``LEAST`` rows of the sample): each cut is at the median of the
+graph's second eigenvector and then refined by swaps. A small network learns, from a vector's direction, the
 parts of its neighbours. Every row of the table is indexed in its likeliest
 part; a query looks through as many of its likeliest parts as reached
 ``RECALL`` on rows of the sample that were held out, and all it finds there is
 ranked by the exact inner product of the original vectors in double precision.
 
 Parts are split into blocks by a hash of vec_id, so that no task holds more than
-``BLOCK`` rows however many rows are alike; queries go to all blocks of a part.
+``BLOCK`` rows however many rows are alike. A query's vector travels once to each
+block that it looks through, so one copy is shuffled for up to ``BLOCK`` inner
+products; what a query costs is the share of the table in its parts, which the
+README states.
 
 Vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; so do rows without a vec_id. Ties go to the
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SAMPLE, PARTS, NEAR, HIDDEN = 8_000, 32, 12, 128
-RECALL, BLOCK = 0.95, 20_000
+SAMPLE, LEAST, NEAR, HIDDEN = 8_000, 16, 12, 128
+RECALL, BLOCK = 0.93, 20_000
 EPOCHS, BATCH, RATE = 25, 256, 2e-3
 
 
@@ -138,10 +142,15 @@ def fit_router(x: np.ndarray, target: np.ndarray, seed: int = 7) -> Router:
     return Router(*p)
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, k: int = 20) -> Router:
+def parts_for(rows: int) -> int:
+    """The power of two next to the square root of the number of rows."""
+    return 1 << max(0, round(np.log2(max(rows, 1)) / 2))
+
+
+def fit(sample: np.ndarray, parts: int, recall: float = RECALL, k: int = 20) -> Router:
     """Parts, network and number of probes from a sample of vectors."""
     directions = unit(sample)
-    while parts > 1 and parts * 16 > len(sample):
+    while parts > 1 and parts * LEAST > len(sample):
         parts //= 2
     near = nearest(directions, directions, min(NEAR + 1, len(sample)))  # a row is among its own neighbours
     part = balanced_parts(near, parts)
@@ -178,13 +187,13 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def build_index(rows: DataFrame, parts: int = PARTS, recall: float = RECALL) -> tuple[DataFrame, Router | None]:
+def build_index(rows: DataFrame, parts: int | None = None, recall: float = RECALL) -> tuple[DataFrame, Router | None]:
     """The index (part, vec_id, vector) of all rows, in the shared folder, and its router; rows as ``valid`` gives them."""
     rows = saved(rows, "neighbours-rows")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return rows.select(F.lit(0).alias("part"), "vec_id", "vector"), None
-    router = fit(_matrix(sample["vector"]), parts, recall)
+    router = fit(_matrix(sample["vector"]), parts or parts_for(rows.count()), recall)
     sent = rows.sparkSession.sparkContext.broadcast(router)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

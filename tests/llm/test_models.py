@@ -374,6 +374,22 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_parts_grow_with_the_table():
+    """As the square root of the rows, and what is scanned falls with them at a recall above 0.9."""
+    assert [neighbours.parts_for(n) for n in (0, 1, 500, 10_000, 51_000)] == [1, 1, 16, 128, 256]
+    shares = []
+    for n in (500, 2000, 8000):
+        x = clustered(7, n)
+        router = neighbours.fit(x, neighbours.parts_for(n))
+        home, probed = router.likeliest(x, 1)[:, 0], router.likeliest(x[::20], router.probes)
+        score = x[::20] @ x.T
+        score[np.arange(len(probed)), np.arange(0, n, 20)] = -np.inf
+        best = np.argsort(-score, axis=1)[:, :20]
+        assert (home[best][:, :, None] == probed[:, None, :]).any(axis=2).mean() >= 0.9
+        shares.append(np.bincount(home, minlength=neighbours.parts_for(n))[probed].sum(axis=1).mean() / n)
+    assert shares[0] > shares[1] > shares[2]
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     few = neighbours.valid(spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [0.0, 2.0])], schema), "vec_id", "embedding")
