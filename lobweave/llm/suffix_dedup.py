@@ -1,21 +1,26 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-Each text (UTF-8 bytes) is parsed at triggers: a ``GRAM``-byte string whose
-rolling hash is the least among ``REACH`` consecutive positions starts a phrase
-(ties go to the left), so triggers are set by content alone and no phrase is
-longer than ``REACH``. A window of ``size`` bytes belongs to the first least
-trigger in its first ``REACH`` positions; equal windows have the same trigger at
-the same offset, hence
-
-* the *parse context*: the ``size + 1 - REACH`` bytes from the trigger on lie in
-  each of its windows. Their hash is the key by which anchors meet; keys that
-  occur once in the corpus drop out after a shuffle of 12 bytes an anchor.
-* For the keys that remain, the left phrase (a suffix of the dictionary) and the
-  bytes right of the context travel to the key's bucket. There the dictionary
-  side is sorted by reversed phrase and the parse side by the bytes to the
-  right; with the common prefixes of neighbours both orders give, for each
-  offset, the classes of equal left and right parts. A window is the pair of
-  its classes: corpus order without comparing the windows themselves.
+Each text (UTF-8 bytes) is parsed at triggers: a position is one if the rolling
+(Karp-Rabin) hash of the ``GRAM`` bytes from it on is 0 modulo ``MODULUS``; a
+phrase goes from a trigger to the end of the next one's bytes, so triggers are set
+by content alone and no phrase is a prefix of another. A window of ``size`` bytes
+belongs to its first trigger; a window without any among its first ``REACH``
+positions lies in a long phrase and belongs to the first least hash there. Equal
+windows so have their owner (anchor) at the same offset. A window is a suffix of
+the phrase before its anchor, and the parse from the anchor on up to its end.
+
+* The parse's first ``size + 1 - REACH`` bytes from the anchor lie in each of its
+  windows. Their hash is the key by which anchors meet; keys that occur once in
+  the corpus drop out after a shuffle of 12 bytes an anchor.
+* The phrases and parses of the anchors that remain travel to the key's bucket. A
+  bucket holds a whole share of the corpus order, since equal windows have equal
+  keys. Its distinct phrases are the *dictionary*, whose suffixes are sorted into a
+  suffix array (``dictionary_order``). What follows the anchors is parsed into
+  ranks of phrases and sorted by ranks into the *parse's* suffix array
+  (``parse_order``), which is the byte order as no phrase is another one's prefix;
+  neighbours' common bytes are kept beside it. Windows in corpus order are those
+  sorted by the place of their suffix in the one and of their anchor in the other;
+  equal ones are neighbours there (``repeated``).
 
 The first window of each class in (doc_id, start) stays, all others are
 removed; bytes covered by a removed window go, judged on the input.
@@ -25,19 +30,21 @@ key within one input partition by the first of them, so a passage or document
 in a third of all rows reaches its bucket once for each partition and not once
 for each row. Keys with very many anchors (at the edges of such a passage every
 context is another) are sent to all, a list of bounded length; their windows
-travel by hash instead.
+travel by 128-bit hash instead, as one task could not hold such a key's anchors.
+Within a bucket keys are worked on in slices of about ``SLICE`` anchors.
 
 Null text is empty; a null doc_id comes after all others; texts under ``size``
-bytes keep everything; repeated rows (doc_id and text) are one document and
-share its result; rows that share a doc_id but not the text are ordered by a
-hash of the text; an empty table gives an empty result; other columns pass
-through ``dedup`` untouched.
+bytes keep everything; texts of any length are parsed whole; repeated rows (doc_id
+and text) are one document and share its result; rows that share a doc_id but not
+the text are ordered by a hash of the text; an empty table gives an empty result;
+other columns pass through ``dedup`` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,29 +54,53 @@ from pyspark.sql import types as T
 
 from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
-SIZE, REACH, GRAM = 100, 50, 8
+SIZE, REACH, GRAM, MODULUS = 100, 50, 8, 48
+SLICE, STRETCH = 50_000, 1 << 20  # anchors worked on at once; positions hashed at once
 COPY, ENTRY, MANY, TABLE, HOT, REST = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 HOT_LEAST, HOT_SHARE, HOT_KEYS = 1_000, 1e-4, 1_000_000  # anchors, and anchors for each document, from which a key is hot; keys sent to all
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _KEEP_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base up to n, and of its inverse."""
+    one = np.arange(n) == 0
+    return tuple(np.cumprod(np.where(one, np.uint64(1), x), dtype=np.uint64) for x in (_POWER, np.uint64(pow(int(_POWER), -1, 2**64))))
+
+
+def rolled(data: np.ndarray) -> np.ndarray:
+    """The rolling hash of the GRAM bytes from each position on, finalised so that all its bits depend on all bytes."""
+    out = []
+    for at in range(0, len(data) - GRAM + 1, STRETCH):
+        part = data[at : at + STRETCH + GRAM - 1]
+        up, down = _powers(1 << (len(part) - 1).bit_length())
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)])
+        out.append(mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def triggers(hashes: np.ndarray) -> np.ndarray:
+    return hashes % np.uint64(MODULUS) == 0
+
+
 def anchors(data: np.ndarray, size: int = SIZE, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Triggers that own windows of data (uint8): positions, and the first and last window start of each."""
+    """Positions that own windows of data (uint8), and the first and last window start of each."""
     n = len(data) - size + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3
     m = n + reach - 1  # positions that are looked at; each has a whole gram, as size > reach + GRAM
-    gram = np.zeros(m, np.uint64)
-    for k in range(GRAM):
-        gram |= data[k : m + k].astype(np.uint64) << np.uint64(8 * k)
-    least = (mixed(gram) & _KEEP_HIGH) | np.arange(m, dtype=np.uint64)
+    hashes = rolled(data[: m + GRAM - 1])
+    least = (hashes & _KEEP_HIGH) | np.arange(m, dtype=np.uint64)
     width = 1
     while width * 2 <= reach:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[:n], least[reach - width : reach - width + n])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = np.where(triggers(hashes), np.arange(m), 2 * m + size)
+    following = np.minimum.accumulate(place[::-1])[::-1][:n]
+    at = np.where(following < np.arange(n) + reach, following, at)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], first, np.concatenate([first[1:], [n]]) - 1
 
@@ -135,8 +166,10 @@ def _met(batches: Iterator[pa.RecordBatch], hot_least: int) -> Iterator[pa.Recor
     rows = gathered(batches)
     for r in rows.get(TABLE, []):
         yield packed([(TABLE, r["part"], 0, r["a"], r["b"], r["c"])])
-    if rows.get(MANY):  # only such keys can be hot: others come once from each partition
-        key, n = joined_blobs(rows[MANY], "a", np.uint64), joined_blobs(rows[MANY], "b", np.int64)
+    if rows.get(MANY) or len(rows.get(ENTRY, [])) >= hot_least:  # else a key comes at most once from each of too few partitions
+        once = joined_blobs(rows.get(ENTRY, []), "a", np.uint64)
+        key = np.concatenate([joined_blobs(rows.get(MANY, []), "a", np.uint64), once])
+        n = np.concatenate([joined_blobs(rows.get(MANY, []), "b", np.int64), np.ones(len(once), np.int64)])
         key, group = np.unique(key, return_inverse=True)
         total = np.bincount(group, n).astype(np.int64)
         hot = total >= hot_least
@@ -328,37 +361,103 @@ def _fields(x: np.ndarray) -> tuple[np.ndarray, ...]:
     return x & 255, x >> 8 & 255, x >> 16
 
 
-def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of a byte matrix, and how many leading bytes each has in common with the one before."""
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of a byte matrix, and which of them in that order differ from the one before."""
     order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0], kind="stable")
-    step = rows[order][1:] != rows[order][:-1]
-    common = np.where(step.any(axis=1), step.argmax(axis=1), rows.shape[1]) if len(rows) > 1 else np.zeros(0, np.int64)
-    return order, np.concatenate([[-1], common])
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    return order, new
+
+
+def dictionary_order(phrases: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary: rows of phrases (uint8, set to the right), of which the suffixes of least to most bytes are wanted.
+
+    Returns phrase and length of each suffix in order, the place of each, equal
+    ones sharing one, and where each phrase's places begin by length.
+    """
+    width = phrases.shape[1]
+    count = np.maximum(most - least + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    phrase = np.repeat(np.arange(len(phrases)), count)
+    length = np.arange(begin[-1]) - np.repeat(begin[:-1] - least, count)
+    column = np.arange(width) + (width - length)[:, None]
+    rows = np.where(column < width, phrases[phrase[:, None], np.minimum(column, width - 1)], 0).astype(np.uint8)
+    order, new = _sorted(np.concatenate([rows, length[:, None].astype(np.uint8)], axis=1))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return phrase[order], length[order], place, begin[:-1] - least
+
+
+def parse_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes as sequences of ranks of their phrases (1 and on in byte order, 0 after the last), and the distinct phrases by rank (last column: length)."""
+    n, width = rows.shape
+    hashes = np.zeros((n, max(width - GRAM + 1, 0)), np.uint64)
+    for k in range(GRAM):
+        hashes += rows[:, k : k + hashes.shape[1]] * np.uint64(pow(int(_POWER), k, 2**64))
+    cut = np.concatenate([triggers(mixed(hashes)), np.zeros((n, width - hashes.shape[1]), bool)], axis=1)
+    cut[:, 0] = True
+    row, start = np.nonzero(cut)
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    end = np.where(last, width, np.minimum(np.append(start[1:], 0)[: len(row)] + GRAM, width))
+    column = start[:, None] + np.arange(width)
+    phrases = np.where(column < end[:, None], rows[row[:, None], np.minimum(column, width - 1)], 0).astype(np.uint8)
+    phrases = np.concatenate([phrases, (end - start)[:, None].astype(np.uint8)], axis=1)
+    order, new = _sorted(phrases)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    index = np.cumsum(cut, axis=1)[row, start] - 1
+    ranks = np.zeros((n, int(index.max(initial=0)) + 1), np.int64)
+    ranks[row, index] = rank
+    return ranks, phrases[order[new]]
+
+
+def parse_order(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a parse: the anchors in order of their key and of what follows it, and how many bytes each has in common with the one before (-1: another key)."""
+    ranks, _ = parse_of(rows)
+    order = np.lexsort((*ranks.T[::-1], key))
+    step = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(step.any(axis=1), step.argmax(axis=1), rows.shape[1])
+    common[key[order[1:]] != key[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])[: len(order)]
 
 
 def repeated(key: np.ndarray, ids: np.ndarray, at: np.ndarray, fields: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(anchors, offsets) of the windows that an earlier anchor also has, for all anchors of some keys."""
+    by_key = np.argsort(key, kind="stable")
+    edge = np.append(np.flatnonzero(np.concatenate([[True], key[by_key][1:] != key[by_key][:-1]])), len(key))
+    cuts = edge[np.unique(np.searchsorted(edge, np.append(np.arange(0, len(key), SLICE), len(key))))]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        part = by_key[a:b]
+        who, offset = _repeated(*(x[part] for x in (key, ids, at, fields, left, right)), reach)
+        if len(who):
+            yield part[who], offset
+
+
+def _repeated(key, ids, at, fields, left, right, reach: int) -> tuple[np.ndarray, np.ndarray]:
     span = reach - 1
     low, high, room = _fields(fields)
-    key_bytes = key.byteswap().view(np.uint8).reshape(-1, 8)
-    l_order, l_common = _classes(np.concatenate([key_bytes, left[:, ::-1]], axis=1))
-    r_order, r_common = _classes(np.concatenate([key_bytes, right], axis=1))
-    place = np.empty(len(key), np.int64)
-    place[np.lexsort((at, ids[:, 1], ids[:, 0]))] = np.arange(len(key))
-    l_class, r_class = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    low = np.maximum(low, span - room)  # the window has offset bytes left of the anchor and span - offset bytes right of the context
+    order, new = _sorted(np.concatenate([left, high[:, None].astype(np.uint8)], axis=1))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    lead = order[new]
+    least = np.full(len(lead), reach)
+    np.minimum.at(least, rank, low)
+    _, _, place, begin = dictionary_order(left[lead], least, high[lead])
+    r_order, common = parse_order(key, right)
+    parse = np.empty((reach, len(key)), np.int64)  # the class of what follows, for each offset
     for offset in range(reach):
-        # the window has offset bytes left of the trigger and span - offset bytes right of the context
-        use = np.flatnonzero((low <= offset) & (offset <= high) & (span - offset <= room))
-        if len(use) < 2:
-            continue
-        l_class[l_order] = np.cumsum(l_common < 8 + offset)
-        r_class[r_order] = np.cumsum(r_common < 8 + span - offset)
-        pair = l_class[use] * np.int64(len(key) + 1) + r_class[use]
-        order = np.lexsort((place[use], pair))
-        again = np.concatenate([[False], pair[order][1:] == pair[order][:-1]])
-        if again.any():
-            found = use[order[again]]
-            yield found, np.full(len(found), offset, np.int64)
+        parse[offset, r_order] = np.cumsum(common < span - offset)
+    count = np.maximum(high - low + 1, 0)
+    who = np.repeat(np.arange(len(key)), count)
+    offset = np.arange(len(who)) - np.repeat(np.cumsum(count) - count - low, count)
+    pair = place[begin[rank[who]] + offset] * np.int64(len(key) + 1) + parse[offset, who]
+    when = np.empty(len(key), np.int64)
+    when[np.lexsort((at, ids[:, 1], ids[:, 0]))] = np.arange(len(key))
+    corpus = np.lexsort((when[who], pair))
+    again = np.zeros(len(corpus), bool)
+    again[1:] = pair[corpus[1:]] == pair[corpus[:-1]]
+    return who[corpus[again]], offset[corpus[again]]
 
 
 SPANS = "k1 long, k2 long, first int, last int"

@@ -232,6 +232,71 @@ def test_suffix_hot_keys_by_window(spark):
         assert gone == {i: w[1] for i, w in want.items() if w[1]}
 
 
+def test_rolling_hash_and_triggers():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    power = int(suffix_dedup._POWER)
+    want = [sum(int(data[i + k]) * pow(power, k, 2**64) for k in range(8)) % 2**64 for i in range(0, 2993, 7)]
+    assert (suffix_dedup.mixed(np.array(want, np.uint64)) == suffix_dedup.rolled(data)[::7]).all()
+    long = rng.integers(0, 9, suffix_dedup.STRETCH + 500).astype(np.uint8)
+    assert (suffix_dedup.rolled(long)[-900:] == suffix_dedup.rolled(long[-907:])).all()
+
+
+def test_suffix_array_of_the_dictionary():
+    rng = np.random.default_rng(3)
+    phrases = rng.integers(0, 2, (60, 12)).astype(np.uint8)
+    least, most = rng.integers(0, 7, 60), rng.integers(5, 13, 60)
+    phrase, length, place, begin = suffix_dedup.dictionary_order(phrases, least, most)
+    said = [bytes(phrases[p][12 - n :]) for p, n in zip(phrase, length)]
+    want = [bytes(phrases[p][12 - n :]) for p in range(60) for n in range(least[p], most[p] + 1)]
+    pad = lambda x: x.ljust(12, b"\0") + bytes([len(x)])
+    assert said == sorted(want, key=pad)
+    rank = {x: i for i, x in enumerate(sorted(set(want), key=pad))}
+    assert all(place[begin[p] + n] == rank[bytes(phrases[p][12 - n :])] for p in range(60) for n in range(least[p], most[p] + 1))
+
+
+def test_suffix_array_of_the_parse():
+    """Phrases give the bytes back, none is another one's prefix but at a row's end, and the order by ranks is the order by bytes."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 100, 400).astype(np.uint8)
+    rows = np.stack([base[i : i + 49] for i in rng.integers(0, 350, 300)])
+    rows[::5, 30:] = rng.integers(97, 100, (60, 19))
+    ranks, phrases = suffix_dedup.parse_of(rows)
+    text = {k + 1: bytes(p[: p[-1]]) for k, p in enumerate(phrases)}
+    assert list(text.values()) == sorted(text.values()) and (ranks > 0).sum(axis=1).max() > 1
+    for row, said in zip(rows, ranks):
+        said = [text[x] for x in said if x]
+        assert b"".join(x[: len(x) - suffix_dedup.GRAM] for x in said[:-1]) + said[-1] == bytes(row)
+    key = rng.integers(0, 3, 300).astype(np.uint64)
+    order, common = suffix_dedup.parse_order(key, rows)
+    said = [(int(key[i]), bytes(rows[i])) for i in order]
+    assert said == sorted(said)
+    for (k, x), (q, y), n in zip(said, said[1:], common[1:]):
+        assert n == (-1 if k != q else next((j for j in range(49) if x[j] != y[j]), 49))
+
+
+def test_slices_of_keys_find_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400
+    key, at = np.sort(rng.integers(0, 60, n)).astype(np.uint64), rng.permutation(n)
+    ids = np.stack([rng.integers(0, 30, n), np.zeros(n, np.int64)], axis=1)
+    low, high = rng.integers(0, 20, n), rng.integers(20, 49, n)
+    fields = (low | high << 8 | 49 << 16).astype(np.uint32)
+    left, right = (rng.integers(0, 2, (3, 49)).astype(np.uint8)[rng.integers(0, 3, n)] for _ in "ab")
+    left[np.arange(49)[None, :] < (49 - high)[:, None]] = 0
+    whole = {(int(w), int(o)) for x in suffix_dedup.repeated(key, ids, at, fields, left, right, 50) for w, o in zip(*x)}
+    monkeypatch.setattr(suffix_dedup, "SLICE", 7)
+    assert whole == {(int(w), int(o)) for x in suffix_dedup.repeated(key, ids, at, fields, left, right, 50) for w, o in zip(*x)}
+    seen, want = set(), set()
+    for i in sorted(range(n), key=lambda i: (ids[i, 0], at[i])):
+        for o in range(low[i], high[i] + 1):
+            window = (int(key[i]), o, bytes(left[i, 49 - o :]), bytes(right[i, : 49 - o]))
+            if window in seen:
+                want.add((i, o))
+            seen.add(window)
+    assert whole == want
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(0)
     for data in (rng.integers(0, 3, 700).astype(np.uint8), np.zeros(300, np.uint8), rng.integers(0, 255, 100).astype(np.uint8)):
