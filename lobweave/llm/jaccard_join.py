@@ -17,19 +17,23 @@ that link lie close together in the sum of absolute differences.
   the summed minima of the query and the corner. Pairs that survive join clusters.
 * Surviving pairs are verified on the shingles, cluster by cluster and again
   through an R-tree.
-* A cluster too large for one task is split into blocks of rows. Rounds of
-  pivots, each round a bounded R-tree against every block, go on until every
-  document outside the largest component has been a pivot, which compares all
-  that could still be joined. A cell too large for one task becomes one cluster.
-
-Equal sets are one class and travel once. Components, not pairs, are returned:
-pairs inside a component already known are skipped.
+* A cluster too large for one task (``LARGE`` shingles) is split into blocks of
+  rows. ``ROUNDS`` rounds of pivots, each an R-tree against every block, join a
+  family of near copies to one component; in a last round all documents that are
+  still outside the largest component are pivots at once, dealt into blocks of
+  their own, so every pair that could still be joined is compared, and the rounds
+  don't grow with the cluster. A cell too large for one task becomes one cluster.
+
+Equal sets are one class and travel once. A set's name has 64 bits; a second hash
+travels with the classes, and names that two sets share are found by it, sent to
+all (they are next to none) and told apart in a second pass. Components, not pairs,
+are returned: pairs inside a component already known are skipped.
 
 Words are maximal runs of bytes other than ASCII white space, A-Z lower-cased.
 Sets of fewer words than a shingle are the whole sequence; documents without
 words (null text too) have no set and link with nothing. A null doc_id sorts
 last and gives a null component_id where it is the smallest; repeated rows get
-the same result; shingles and sets are told apart by 64-bit hashes; an empty
+the same result; words and shingles are told apart by 64-bit hashes; an empty
 table gives an empty result; other columns pass through ``dedup`` untouched.
 """
 
@@ -44,16 +48,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, PACKED, by_bucket, components, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
+from .common import NO_ID, PACKED, by_bucket, components, dealt, dropped, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
-DOC, CLASS, CELL, EDGE, STAR = 0, 1, 2, 3, 4  # kinds of packed rows
+DOC, CLASS, CELL, EDGE, STAR, CLASH = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 GROUPS, FANOUT = 64, 16
 LONG = (800, 3_200, 12_800)  # sizes from each of which sets have four times the groups: more shingles need finer counts
-LARGE = 3_000_000  # shingles in one task's cluster
+LARGE = 400_000  # shingles in one task's cluster or block
 CELL_MOST = 100_000  # members of a cell that one task indexes
-PIVOTS = 256  # of each large cluster in a round
+PIVOTS, ROUNDS = 256, 2  # pivots of each large cluster in a round; rounds before the last
 STRETCH, SHARE, FREQUENT = 1_000_000, 0.002, 100_000  # shingles of a stretch, of its documents that make a shingle frequent, frequent shingles kept
 _CACHED_WORDS = 400_000
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shingler:
@@ -87,9 +92,16 @@ class Shingler:
         return np.unique(out)
 
 
-def set_id(shingles: np.ndarray) -> np.int64:
-    total = mixed(shingles).sum(dtype=np.uint64)
-    return mixed(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0]
+def set_id(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of a set as signed numbers; of the first only so many bits."""
+    sums = [mixed(x).sum(dtype=np.uint64) + np.uint64(len(shingles)) for x in (shingles, shingles ^ _OTHER)]
+    one, two = mixed(np.array(sums, np.uint64))
+    return tuple(np.array([one & np.uint64(2**bits - 1), two], np.uint64).view(np.int64).tolist())
+
+
+def named(one: int, two: int, apart: frozenset) -> int:
+    """A set's name: its first hash, or one of both hashes where two sets share the first."""
+    return one if one not in apart else int(mixed(np.array([one ^ two], np.int64).view(np.uint64)).view(np.int64)[0])
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -277,7 +289,7 @@ def _bounded(num: int, den: int):
     return join
 
 
-def _frequent(words: int):
+def _frequent(words: int, share: float = SHARE):
     """Shingles that many documents of a stretch of the input have, with their number there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +297,7 @@ def _frequent(words: int):
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= max(3, SHARE * len(held))
+            many = n >= max(3, share * len(held))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
 
@@ -302,15 +314,16 @@ def _frequent(words: int):
     return count
 
 
-def _route(words: int, num: int, den: int, buckets: int, frequent):
+def _route(words: int, num: int, den: int, buckets: int, frequent, apart: frozenset, bits: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shingler, often = part_id(), Shingler(words), frequent.value
         docs, tokens, sids, sizes, points = [], [], [], [], {}
         for batch in batches:
             for k1, k2, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].to_pylist()):
                 s = shingler(text)
-                sid = set_id(s) if len(s) else np.int64(0)
-                docs.append((k1, k2, len(s), sid))
+                one, check = set_id(s, bits) if len(s) else (0, 0)
+                sid = named(one, check, apart)
+                docs.append((k1, k2, len(s), sid, check))
                 if len(s) and sid not in points:
                     token = prefix(s, often, num, den)
                     tokens.append(token)
@@ -319,13 +332,15 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
                     points[sid] = np.minimum(counts_of([s], int(scale_of(len(s))))[0], 65535).astype(np.uint16)
         if not docs:
             return
-        k1, k2, n, sid = np.array(docs, np.int64).T
+        k1, k2, n, sid, check = np.array(docs, np.int64).T
         yield packed([(DOC, part, part % buckets, k1.tobytes(), k2.tobytes(), n.tobytes(), sid.tobytes())])
         order = _smallest(sid, k1, k2, n > 0)
+        if len(order):
+            yield from _clashes(sid, check, n > 0)
         for c in range(len(LONG) + 1):
             rows = order[scale_of(n[order]) == c]
             if len(rows):
-                yield from dealt(CLASS, part, buckets, sid[rows].view(np.uint64), sid[rows], k1[rows], k2[rows], n[rows], np.stack([points[x] for x in sid[rows]]))
+                yield from dealt(CLASS, part, buckets, sid[rows].view(np.uint64), sid[rows], k1[rows], k2[rows], n[rows], np.stack([points[x] for x in sid[rows]]), check[rows])
         if tokens:
             token, sid, size = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
             hot = _among(token, often)
@@ -338,6 +353,14 @@ def _route(words: int, num: int, den: int, buckets: int, frequent):
     return route
 
 
+def _clashes(sid: np.ndarray, check: np.ndarray, use: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Names that stand for more than one set."""
+    both = np.unique(np.stack([sid[use], check[use]], axis=1), axis=0)
+    again = np.unique(both[1:][both[1:, 0] == both[:-1, 0], 0])
+    if len(again):
+        yield packed([(CLASH, 0, 0, again.tobytes())])
+
+
 def _stars(token: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token once with its smallest set, and the distinct edges from that set to the token's others."""
     if not len(token):
@@ -361,6 +384,11 @@ def _meet(num: int, den: int, most: int):
         rows = gathered(batches)
         for r in rows.get(DOC, []):
             yield packed([(DOC, 0, 0, r["a"], r["b"], r["c"], r["d"])])
+        for r in rows.get(CLASH, []):
+            yield packed([(CLASH, 0, 0, r["a"])])
+        if classes := rows.get(CLASS, []):
+            sid = joined_blobs(classes, "a", np.int64)
+            yield from _clashes(sid, joined_blobs(classes, "f", np.int64), np.ones(len(sid), bool))
         by_scale: dict[int, list[dict]] = {}
         for r in rows.get(CLASS, []):
             by_scale.setdefault(int(scale_of(np.frombuffer(r["d"], np.int64, 1)[0])), []).append(r)
@@ -471,35 +499,50 @@ def _against_pivots(words: int, num: int, den: int):
     return join
 
 
-def _large_links(docs: DataFrame, words: int, num: int, den: int, pivots: int, block: int) -> DataFrame:
-    """Links (a, b) that span the components of clusters too large for a task; docs: cluster, weight, sid, n, text."""
+def _large_links(docs: DataFrame, words: int, num: int, den: int, pivots: int, block: int, rounds: int) -> DataFrame:
+    """Links (a, b) that span the components of clusters too large for a task; docs: cluster, weight, sid, n, text.
+
+    So many rounds of pivots, and a last one in which all sets outside their
+    cluster's largest component that were no pivots are dealt into blocks too, and
+    each of these meets every block of the cluster.
+    """
     docs = saved(docs.withColumn("slot", F.pmod(F.xxhash64("sid"), F.ceil(F.col("weight") / block))), "jaccard-large")
     slots = docs.select("cluster", "slot").distinct()
-    state = saved(docs.select("cluster", "sid", F.col("sid").alias("label"), F.lit(False).alias("done")).distinct(), "jaccard-state")
-    links = None
-    while True:
+    state = saved(docs.select("cluster", "sid", "n", F.col("sid").alias("label"), F.lit(False).alias("done")).distinct(), "jaccard-state")
+    links = state.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    for round_ in range(rounds + 1):
         sizes = state.groupBy("cluster", "label").count()
         top = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
         open_ = state.where("not done").join(top, "cluster").where("label <> top")
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("sid")))
-        chosen = saved(open_.withColumn("rank", rank).where(F.col("rank") <= pivots).select("cluster", "sid"), "jaccard-pivots")
+        if round_ < rounds:
+            rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("sid")))
+            chosen = open_.withColumn("rank", rank).where(F.col("rank") <= pivots).select("cluster", "sid", F.lit(0).cast("long").alias("deal"))
+        else:
+            weight = open_.groupBy("cluster").agg(F.sum("n").alias("weight"))
+            chosen = open_.join(weight, "cluster").select("cluster", "sid", F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("weight") / block)).alias("deal"))
+        chosen = saved(chosen, "jaccard-pivots")
         if not chosen.limit(1).count():
-            return links if links is not None else state.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+            break
+        deals = chosen.select("cluster", "deal").distinct()
         heads = chosen.join(docs.select("cluster", "sid", "text"), ["cluster", "sid"]).dropDuplicates(["cluster", "sid"])
         heads = saved(heads.join(slots, "cluster"), "jaccard-heads")  # as many copies as blocks
-        found = saved(docs.select("cluster", "slot", "sid", "text").groupBy("cluster", "slot").cogroup(heads.groupBy("cluster", "slot")).applyInArrow(_against_pivots(words, num, den), "a long, b long"), "jaccard-links")
-        links = found if links is None else links.union(found)
-        labels = components(found.union(state.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "jaccard-large")
-        done = chosen.select("sid", F.lit(True).alias("now"))
-        new = state.join(labels.withColumnsRenamed({"node": "sid", "label": "new"}), "sid", "left").join(done, "sid", "left")
-        state = saved(new.select("cluster", "sid", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
-
-
-def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, large: int = LARGE, pivots: int = PIVOTS, cell_most: int = CELL_MOST) -> DataFrame:
+        rows = docs.select("cluster", "slot", "sid", "text").join(deals, "cluster")
+        found = saved(rows.groupBy("cluster", "slot", "deal").cogroup(heads.groupBy("cluster", "slot", "deal")).applyInArrow(_against_pivots(words, num, den), "a long, b long"), "jaccard-links")
+        links = links.union(found)
+        if round_ < rounds:
+            labels = components(found.union(state.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "jaccard-large")
+            done = chosen.select("sid", F.lit(True).alias("now"))
+            new = state.join(labels.withColumnsRenamed({"node": "sid", "label": "new"}), "sid", "left").join(done, "sid", "left")
+            state = saved(new.select("cluster", "sid", "n", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
+    return links
+
+
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, large: int = LARGE, pivots: int = PIVOTS, rounds: int = ROUNDS, cell_most: int = CELL_MOST, bits: int = 64) -> DataFrame:
     """One row for each row of docs: k1, k2 (its keys), n_shingles, rep1, rep2 (keys of the smallest document of its component).
 
     Two documents link when den * intersection >= num * union of their sets of
-    shingles of so many words.
+    shingles of so many words. The last five say when work is split, and how many
+    bits of a set's name are used at first; the result doesn't depend on them.
     """
     spark = docs.sparkSession
     texts = row_keys(docs)
@@ -507,8 +550,15 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     buckets = n
     often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-    routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, spark.sparkContext.broadcast(often)), PACKED), n)
-    table = saved(routed.mapInArrow(_meet(num, den, cell_most), PACKED), "jaccard-cells")
+    sent, apart = spark.sparkContext.broadcast(often), frozenset()
+    while True:
+        routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, sent, apart, bits), PACKED), n)
+        table = saved(routed.mapInArrow(_meet(num, den, cell_most), PACKED), "jaccard-cells")
+        clashes = {r.sid for r in _unpacked(table, CLASH, "sid").distinct().collect()}  # of N sets about N * N / 2 ** 65
+        if not clashes:
+            break
+        dropped(table)
+        apart |= clashes
     points = _unpacked(table, CLASS, "sid r1 r2 n point", points=True)
     reps = points.drop("point")
     members = _cells(table).join(points.select("sid", "n", "point").hint("merge"), "sid")
@@ -522,7 +572,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     fits = wanted.where(F.col("weight") <= large).select("cluster", "sid", "text").repartition(n, "cluster").sortWithinPartitions("cluster")
     links = fits.mapInArrow(_whole_clusters(words, num, den), "a long, b long")
     if suspects.where(F.col("weight") > large).limit(1).count():
-        links = links.union(_large_links(wanted.where(F.col("weight") > large), words, num, den, pivots, large))
+        links = links.union(_large_links(wanted.where(F.col("weight") > large), words, num, den, pivots, large, rounds))
     labels = components(links, "jaccard-links")
     members = reps.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "r1", "r2", F.coalesce("label", "sid").alias("label"))
     best = members.groupBy("label").agg(F.min(F.struct("r1", "r2")).alias("rep"))

@@ -74,13 +74,33 @@ def near_components(rows, k, num, den):
     return sorted((rows[key][0], len(sets[key]), least[root(key)]) for key in sets)
 
 
-@pytest.mark.parametrize("k,num,large", [(3, 90, None), (5, 80, None), (3, 80, 150)])
-def test_near_against_brute_force(spark, k, num, large):
-    more = {"large": large, "pivots": 2, "cell_most": 3} if large else {}
-    got = sorted((r.k1, r.n_shingles, r.rep1) for r in jaccard_join.classes(table(spark, ROWS), k, num, 100, **more).collect())
+SPLITS = {
+    "as it is": {},
+    "clusters split, one round": {"large": 150, "pivots": 2, "rounds": 1},
+    "clusters split, no pivots": {"large": 300, "rounds": 0},
+    "clusters split, many rounds": {"large": 150, "pivots": 2, "rounds": 3, "cell_most": 3},
+    "cells split": {"cell_most": 2},
+    "names that clash": {"bits": 4},
+}
+
+
+@pytest.mark.parametrize("k,num,split", [(3, 90, "as it is"), (5, 80, "as it is"), *((3, 80, x) for x in SPLITS)])
+def test_near_against_brute_force(spark, k, num, split):
+    got = sorted((r.k1, r.n_shingles, r.rep1) for r in jaccard_join.classes(table(spark, ROWS), k, num, 100, **SPLITS[split]).collect())
     assert got == near_components(ROWS, k, num, 100)
 
 
+@pytest.mark.parametrize("share,frequent", [(0.0, 100_000), (0.3, 5)])
+def test_near_whatever_is_frequent(spark, monkeypatch, share, frequent):
+    """Which shingles count as frequent moves work and no result: the order of the prefixes is another one each time."""
+    import functools
+
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "_frequent", functools.partial(jaccard_join._frequent, share=share))
+    got = sorted((r.k1, r.n_shingles, r.rep1) for r in jaccard_join.classes(table(spark, ROWS), 3, 80, 100).collect())
+    assert got == near_components(ROWS, 3, 80, 100)
+
+
 def test_near_long_documents_of_two_scales(spark):
     rng = random.Random(5)
     rows = []
