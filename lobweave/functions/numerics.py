@@ -10,18 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import C, D, NARROW_LEVELS
+from ..schemas import C, D
 
 RATIO_PLACES = 12
 
 
 def narrowed(x: Column) -> Column:
-    """To the computing type; raises on overflow where ANSI mode is on."""
-    return x.cast(C)
+    """To the computing type; raises where that would round or overflow."""
+    return F.when(x.try_cast(C) != x, F.raise_error(F.concat(F.lit("more than 8 decimal places: "), x.cast("string"))).cast(C)).when(x.isNotNull() & x.try_cast(C).isNull(), F.raise_error(F.concat(F.lit("over 1e10: "), x.cast("string"))).cast(C)).otherwise(x.try_cast(C))
 
 
-def narrowed_levels(x: Column) -> Column:
-    return x.cast(NARROW_LEVELS)
+def to_units(x: Column) -> Column:
+    """A decimal as a whole number of 1e-8; raises where that would round or overflow."""
+    return (narrowed(x) * F.lit(100_000_000)).cast("bigint")
+
+
+def from_units(x: Column) -> Column:
+    return (x.cast("decimal(18,0)") * F.expr("cast(0.00000001 as decimal(8,8))")).cast(C)
 
 
 def ratio(a: Column, b: Column) -> Column:

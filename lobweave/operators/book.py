@@ -1,53 +1,130 @@
-"""Level-2 books as level intervals: every price level lives from the event that sets it to the next that touches it.
+"""Level-2 books: the outcome of every update and the best levels after it.
 
-The book after an event is the set of levels alive at its order. Intervals and
-events meet by blocks of ``BLOCK`` events of one epoch, so the join's work is the
-live depth for each event and not the product of an epoch's changes and events.
+Epochs, from one snapshot to the next, are independent, so rows are dealt by
+instrument and epoch, put in order, and passed once through a book kernel by way
+of Arrow. A task holds one book and one batch of rows, however long the epoch is
+and however many levels stand; a row costs its own levels and the depth asked for.
+Prices and sizes travel as whole numbers of 1e-8, so nothing is rounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numerics import narrowed_levels
+from ..functions.numerics import from_units, to_units
 from ..schemas import KEYS
-from .sequence import before, ordered, sequenced
+from .sequence import ordered
 
-BLOCK, DEPTH = 256, 10
-FOREVER = 2**62
+DEPTH = 10
+_UNITS = "array<struct<price:bigint,quantity:bigint>>"
 
 
 def flattened(events: DataFrame, *columns: str) -> DataFrame:
-    """Long form: one row for each level, with side, pos, price and quantity; in a snapshot zero quantities drop out first."""
-    level = lambda side: F.transform(narrowed_levels(F.col(f"{side}s")), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x["price"].alias("price"), x["quantity"].alias("quantity")))
-    both = F.concat(F.coalesce(level("bid"), F.array()), F.coalesce(level("ask"), F.array()))
-    both = F.when(F.col("type") == "snapshot", F.filter(both, lambda x: x["quantity"] > 0)).otherwise(both)
-    return events.select(*columns, F.inline(both))
-
-
-def level_intervals(live: DataFrame, keys=KEYS) -> DataFrame:
-    """Levels with the orders from which and before which they stand; one shuffle by level serves both steps."""
-    rows = flattened(live, *keys, "ep", "ord", "ep_end").repartition(*keys, "ep", "side", "price")
-    last = rows.groupBy(*keys, "ep", "side", "price", "ord").agg(F.max_by("quantity", "pos").alias("quantity"), F.max("ep_end").alias("ep_end"))
-    until = F.lead("ord", 1, FOREVER).over(Window.partitionBy(*keys, "ep", "side", "price").orderBy("ord"))
-    return last.select(*keys, "ep", "side", "price", "quantity", F.col("ord").alias("since"), F.least(until, F.col("ep_end") + 1).alias("until")).where("quantity > 0")
-
-
-def with_top_levels(rows: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
-    """``sequenced`` rows with bids and asks replaced by the book after each live row: best levels first, fewer where it is thin."""
-    alive = level_intervals(rows.where("live"), keys)
-    blocks = F.sequence(F.expr(f"since div {BLOCK}"), F.expr(f"(until - 1) div {BLOCK}"))
-    alive = alive.select(*keys, "ep", F.explode(blocks).alias("block"), "side", "price", "quantity", "since", "until").alias("l")
-    rest = [c for c in rows.columns if c not in (*keys, "ord", "bids", "asks")]
-    events = rows.select(*keys, "ord", F.when(F.col("live"), F.col("ep")).alias("_ep"), F.expr(f"ord div {BLOCK}").alias("_block"), F.struct(*rest).alias("_row")).alias("e")
-    meets = [F.col(f"e.{k}") == F.col(f"l.{k}") for k in keys]
-    meets += [F.col("e._ep") == F.col("l.ep"), F.col("e._block") == F.col("l.block"), F.col("l.since") <= F.col("e.ord"), F.col("e.ord") < F.col("l.until")]
-    one = F.struct("l.price", "l.quantity")
-    met = events.join(alive, meets, "left").groupBy(*[F.col(f"e.{k}") for k in keys], F.col("e.ord"))
-    met = met.agg(F.first("e._row").alias("_row"), F.collect_list(F.when(F.col("l.side") == "bid", one)).alias("bids"), F.collect_list(F.when(F.col("l.side") == "ask", one)).alias("asks"))
-    tops = {"bids": F.slice(F.sort_array("bids", False), 1, depth), "asks": F.slice(F.sort_array("asks"), 1, depth)}
-    return met.select(*keys, "ord", "_row.*", *[F.when(F.col("_row.live"), c).alias(n) for n, c in tops.items()])
+    """Long form: one row for each level as it is stored, with side, price and quantity."""
+    level = lambda side: F.transform(F.col(f"{side}s"), lambda x: F.struct(F.lit(side).alias("side"), x["price"].alias("price"), x["quantity"].alias("quantity")))
+    return events.select(*columns, F.inline(F.concat(F.coalesce(level("bid"), F.array()), F.coalesce(level("ask"), F.array()))))
+
+
+class Book:
+    """One epoch's book in units; ``snapshot`` and ``update`` say what came of a row."""
+
+    def __init__(self) -> None:
+        self.status, self.last = "EMPTY", 0
+        self.size: tuple[dict, dict] = {}, {}
+        self.prices: tuple[list, list] = [], []  # ascending; bids as negative prices, so the best of both sides come first
+
+    def _put(self, side: int, prices: list[int], quantities: list[int]) -> None:
+        size, order, sign = self.size[side], self.prices[side], 1 if side else -1
+        for price, quantity in zip(prices, quantities):
+            if price not in size:
+                if quantity:
+                    insort(order, sign * price)
+                    size[price] = quantity
+            elif quantity:
+                size[price] = quantity
+            else:
+                del size[price]
+                del order[bisect_left(order, sign * price)]
+
+    def _crossed(self) -> bool:
+        bids, asks = self.prices
+        return bool(bids and asks and -bids[0] >= asks[0])
+
+    def snapshot(self, last: int, sides: tuple) -> str:
+        self.__init__()
+        self.last = last
+        for side, (prices, quantities) in enumerate(sides):
+            kept = [(p, q) for p, q in zip(prices, quantities) if q > 0]  # zeros drop out before the book is built
+            self._put(side, [p for p, _ in kept], [q for _, q in kept])
+        self.status = "INVALID" if self._crossed() else "SEEDED"
+        return self.status
+
+    def update(self, first: int, last: int, sides: tuple) -> str:
+        if self.status in ("EMPTY", "INVALID"):
+            return "NOT_SYNCED"
+        if last <= self.last:
+            return "DUPLICATE"
+        if not (first <= self.last + 1 if self.status == "SEEDED" else first == self.last + 1):
+            self.status = "INVALID"
+            return "GAP"
+        for side, (prices, quantities) in enumerate(sides):
+            self._put(side, prices, quantities)
+        self.last = last
+        self.status = "INVALID" if self._crossed() else "SYNCED"
+        return "CROSSED" if self.status == "INVALID" else "APPLIED"
+
+    def top(self, side: int, depth: int) -> tuple[list[int], list[int]]:
+        prices = [abs(p) for p in self.prices[side][:depth]]
+        return prices, [self.size[side][p] for p in prices]
+
+
+def _lists(column: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """Offsets, prices and quantities of a column of levels; null is empty."""
+    levels = column.flatten()
+    width = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(width)]).tolist(), levels.field("price").to_pylist(), levels.field("quantity").to_pylist()
+
+
+def _kernel(depth: int, keys: list[str]):
+    kind = pa.list_(pa.struct([("price", pa.int64()), ("quantity", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, at = Book(), None
+        for batch in batches:
+            sides = [_lists(batch[c]) for c in ("_bids", "_asks")]
+            out: list[tuple[list, list, list]] = [([0], [], []) for _ in sides]
+            results, nulls = [], []
+            rows = zip(zip(*[batch[k].to_pylist() for k in keys]), *[batch[c].to_pylist() for c in ("type", "first_seq", "last_seq")])
+            for i, (key, what, first, last) in enumerate(rows):
+                if key != at:
+                    book, at = Book(), key
+                if what == "trade":
+                    result = "TRADE"
+                else:
+                    levels = tuple((p[o[i] : o[i + 1]], q[o[i] : o[i + 1]]) for o, p, q in sides)
+                    result = book.snapshot(last, levels) if what == "snapshot" else book.update(first, last, levels)
+                results.append(result)
+                readable = result in ("SEEDED", "APPLIED")
+                nulls.append(not readable)
+                for side, (offsets, prices, quantities) in enumerate(out):
+                    if readable:
+                        p, q = book.top(side, depth)
+                        prices += p
+                        quantities += q
+                    offsets.append(len(prices))
+            mask = pa.array(nulls, pa.bool_())
+            tops = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.StructArray.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["price", "quantity"]), type=kind, mask=mask) for o, p, q in out]
+            kept = [c for c in batch.schema.names if c not in ("_bids", "_asks")]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(results, pa.string()), *tops], names=[*kept, "result", "_bids", "_asks"])
+
+    return run
 
 
 def states(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
@@ -58,22 +135,13 @@ def states(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
     GAP, CROSSED or NOT_SYNCED; trades TRADE. After a gap or a crossed book nothing
     is readable until the next snapshot.
     """
-    rows = with_top_levels(sequenced(events, keys).drop("advanced", "seen"), depth, keys)
-    crossed = F.coalesce((F.size("bids") > 0) & (F.size("asks") > 0) & (F.try_element_at("bids", F.lit(1))["price"] >= F.try_element_at("asks", F.lit(1))["price"]), F.lit(False))
-    rows = rows.withColumn("crossed", crossed)
-    broken = F.coalesce(F.max(F.col("gap") | F.col("crossed")).over(before(*keys, "ep")), F.lit(False))
-    result = (
-        F.when(F.col("type") == "trade", "TRADE")
-        .when(F.col("type") == "snapshot", F.when(F.col("crossed"), "INVALID").otherwise("SEEDED"))
-        .when((F.col("ep") == 0) | broken, "NOT_SYNCED")
-        .when(F.col("dup"), "DUPLICATE")
-        .when(F.col("gap"), "GAP")
-        .when(F.col("crossed"), "CROSSED")
-        .otherwise("APPLIED")
-    )
-    rows = rows.withColumn("result", result).drop("dup", "gap", "live", "crossed", "ep_end")
-    readable = F.col("result").isin("SEEDED", "APPLIED")
-    return rows.withColumns({c: F.when(readable, F.col(c)) for c in ("bids", "asks")})
+    units = lambda c: F.transform(c, lambda x: F.struct(to_units(x["price"]).alias("price"), to_units(x["quantity"]).alias("quantity")))
+    rest = [c for c in events.columns if c not in ("bids", "asks")]
+    rows = events.select(*rest, units("bids").cast(_UNITS).alias("_bids"), units("asks").cast(_UNITS).alias("_asks"))
+    schema = T.StructType([*rows.select(*rest).schema.fields, *T._parse_datatype_string(f"result string, _bids {_UNITS}, _asks {_UNITS}")])
+    done = rows.repartition(*keys, "ep").sortWithinPartitions(*keys, "ep", "ord").mapInArrow(_kernel(depth, [*keys, "ep"]), schema)
+    exact = lambda c: F.transform(c, lambda x: F.struct(from_units(x["price"]).alias("price"), from_units(x["quantity"]).alias("quantity")))
+    return done.select(*rest, "result", exact("_bids").alias("bids"), exact("_asks").alias("asks"))
 
 
 def applied(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
@@ -83,8 +151,11 @@ def applied(events: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
 
 def book_as_of(events: DataFrame, moment: DataFrame, depth: int = DEPTH, keys=KEYS) -> DataFrame:
     """The readable book at or before each (keys, session, capture_seq) of moment; no row where the book is invalid then."""
-    rows = applied(ordered(events, keys), depth, keys)
+    rows = ordered(events.where("type <> 'trade'"), keys)
     m = moment.select(*keys, F.struct("session", "capture_seq").alias("at"))
-    found = rows.join(m, list(keys)).where(F.struct("session", "capture_seq") <= F.col("at"))
-    last = found.groupBy(*keys, "at").agg(F.max_by(F.struct("result", "last_seq", "bids", "asks"), "ord").alias("b"))
+    until = F.struct("session", "capture_seq") <= F.col("at")
+    epochs = rows.select(*keys, "session", "capture_seq", "ep").join(m, list(keys)).where(until).groupBy(*keys, "at").agg(F.max("ep").alias("ep"))
+    wanted = rows.join(epochs.select(*keys, "ep").distinct(), [*keys, "ep"], "left_semi")  # the book starts anew with each epoch
+    done = applied(wanted, depth, keys).join(epochs, [*keys, "ep"]).where(until)
+    last = done.groupBy(*keys, "at").agg(F.max_by(F.struct("result", "last_seq", "bids", "asks"), "ord").alias("b"))
     return last.where("b.result IN ('SEEDED', 'APPLIED')").select(*keys, "at", "b.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import D
+from ..schemas import LEVELS
 from .book import flattened
 
 FRACTIONS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -13,7 +13,7 @@ FRACTIONS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 def levels_long(events: DataFrame, *columns: str) -> DataFrame:
     """One row for each level, in the order of capture_seq, side and price from high to low."""
-    return flattened(events, *columns).drop("pos").orderBy("capture_seq", "side", F.desc("price"))
+    return flattened(events, *columns).orderBy("capture_seq", "side", F.desc("price"))
 
 
 def by_aggressor(trades: DataFrame, *keys: str) -> DataFrame:
@@ -45,10 +45,9 @@ def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def write_csv(events: DataFrame, path: str) -> None:
-    """Events as CSV: levels in long form, decimals as text."""
+    """Events as CSV: levels in long form (side, price, quantity), decimals as text."""
+    lists = [c for c in ("bids", "asks") if c in events.columns]
+    if lists:
+        own = [c for c in events.columns if c not in (*lists, "price", "quantity")]
+        events = flattened(events.withColumns({c: F.lit(None).cast(LEVELS) for c in ("bids", "asks") if c not in lists}), *own)
     events.select([F.col(c).cast("string") if t.startswith("decimal") else F.col(c) for c, t in events.dtypes]).write.mode("overwrite").option("header", True).csv(path)
-
-
-def as_stored(events: DataFrame) -> DataFrame:
-    """price and quantity at 18 places."""
-    return events.withColumns({c: F.col(c).cast(D) for c in ("price", "quantity")})

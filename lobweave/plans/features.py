@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as f
-from ..functions.numerics import narrowed, ratio, stored
-from ..operators import book
+from ..functions.numerics import RATIO_PLACES, narrowed, ratio, stored, to_units
+from ..operators import book, flow
 from ..operators.rolling import clock, windowed_sums
-from ..operators.sequence import before, ordered
+from ..operators.sequence import ordered
 from ..schemas import FEATURE_NAMES, KEYS, WINDOW_NS
 
 
@@ -36,46 +36,24 @@ def trade_features(trades: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) ->
     return rows.withColumns({"vwap": ratio(F.col("notional"), F.col("volume")), "trade_imbalance": ratio(F.col("bought") - F.col("sold"), F.col("bought") + F.col("sold"))})
 
 
-def observed(events: DataFrame, depth: int = book.DEPTH, keys=KEYS) -> DataFrame:
-    """Rows that count: all trades, SEEDED snapshots and APPLIED updates, with the book, now (the clock) and fe (observed snapshots so far)."""
-    every = book.states(ordered(events, keys), depth, keys).where("result IN ('TRADE', 'SEEDED', 'APPLIED')")
-    so_far = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return every.withColumns({"now": clock("timestamp_ns", *keys), "fe": F.sum((F.col("type") == "snapshot").cast("bigint")).over(so_far)})
-
-
-def flow_windows(rows: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) -> DataFrame:
-    """Book rows of ``observed``, with bid and ask (the best levels), and holed, ofi, returns and squares over the window, within one flow epoch."""
-    by = [*keys, "fe"]
-    update = F.col("type") == "book_update"
-    tracking = F.coalesce(F.max(update).over(before(*keys)), F.lit(False))
-    rows = rows.where("type <> 'trade'").withColumn("_hole", F.when((F.col("type") == "snapshot") & tracking, F.col("now") + window_ns))
-    rows = rows.withColumn("holed", F.coalesce(F.col("now") < F.max("_hole").over(Window.partitionBy(*by)), F.lit(False)))
-    w = Window.partitionBy(*by).orderBy("ord")
-    rows = rows.withColumns({f"_{c}0": F.lag(c).over(w) for c in ("bid", "ask")})
-    mid0, mid = f.midprice(F.col("_bid0"), F.col("_ask0")), f.midprice(F.col("bid"), F.col("ask"))
-    rows = rows.withColumns({
-        "_flow": F.when(update, f.order_flow(F.col("_bid0"), F.col("_ask0"), F.col("bid"), F.col("ask"))),
-        "_square": F.when(update, f.squared_return(mid0, mid)).cast("decimal(34,30)"),
-    }).drop("_bid0", "_ask0")
-    values = {"ofi": F.col("_flow"), "returns": F.when(F.col("_square").isNotNull(), F.lit(1)), "squares": F.col("_square")}
-    return windowed_sums(rows, by, "now", window_ns, update, "now", values).drop("_flow", "_square", "_hole")
-
-
 def feature_rows(events: DataFrame, window_ns: int = WINDOW_NS, keys=KEYS) -> DataFrame:
-    """One row for each APPLIED update: keys, session, capture_seq, timestamp_ns and all features in computing types."""
-    names = [*keys, "session", "capture_seq", "timestamp_ns", "ord", "type", "now", "fe", "price", "quantity", "aggressor"]
+    """One row for each APPLIED update: keys, session, capture_seq, timestamp_ns and all features in computing types.
+
+    Three shuffles: by instrument for the order, by instrument and epoch for the
+    books, by instrument again for the windows. Trades, SEEDED snapshots and APPLIED
+    updates count.
+    """
+    every = book.states(ordered(events, keys), keys=keys).where("result IN ('TRADE', 'SEEDED', 'APPLIED')")
     instant = [build().alias(name) for name, build in f.INSTANT.items()]  # taken here, so no later sort carries the levels
-    rows = observed(events, keys=keys).select(*names, f.best("bids").alias("bid"), f.best("asks").alias("ask"), *instant)
-    rows = trade_windows(rows, window_ns, keys).drop("price", "quantity", "aggressor")
-    out = flow_windows(rows, window_ns, keys).where("type = 'book_update'")
-    known = ~F.col("holed")
+    bid, ask = f.best("bids"), f.best("asks")
+    units = {"_price": F.col("price"), "_quantity": F.col("quantity"), "_bid": bid["price"], "_bid_size": bid["quantity"], "_ask": ask["price"], "_ask_size": ask["quantity"]}
+    names = [*keys, "session", "capture_seq", "timestamp_ns", "ord"]
+    rows = every.select(*names, "type", "aggressor", *instant, *[to_units(x).alias(n) for n, x in units.items()])
+    out = flow.flow_rows(rows, window_ns, keys, [*names, *f.INSTANT])
+    rounded = lambda c: F.round(c, RATIO_PLACES)
     return out.select(
-        *keys, "session", "capture_seq", "timestamp_ns", "ord",
-        *f.INSTANT,
-        ratio(F.col("notional"), F.col("volume")).alias("vwap"),
-        ratio(F.col("bought") - F.col("sold"), F.col("bought") + F.col("sold")).alias("trade_imbalance"),
-        F.when(known, F.col("ofi")).alias("order_flow_imbalance"),
-        F.when(known & (F.col("returns") > 0), F.sqrt(F.col("squares").cast("double"))).alias("realised_volatility"),
+        *names, *f.INSTANT, rounded("_vwap").alias("vwap"), rounded("_trade_imbalance").alias("trade_imbalance"),
+        (F.col("_flow").cast("decimal(19,0)") * F.expr("cast(0.00000001 as decimal(8,8))")).alias("order_flow_imbalance"), F.col("_volatility").alias("realised_volatility"),
     )
 
 

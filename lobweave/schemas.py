@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 D = "DECIMAL(38,18)"  # at rest
 C = "DECIMAL(18,8)"  # in computations: products and sums of it stay exact
 LEVELS = f"ARRAY<STRUCT<price: {D}, quantity: {D}>>"
-NARROW_LEVELS = f"ARRAY<STRUCT<price: {C}, quantity: {C}>>"
 
 _IDENTITY = "exchange STRING, symbol STRING, timestamp_ns BIGINT, received_ns BIGINT, capture_seq BIGINT"
 STREAMS = {

@@ -152,7 +152,7 @@ def test_sequence_reports(spark):
 def test_levels_and_percentiles(spark):
     rows = frame(spark, [snapshot(0, 0, 1, [(100, 1), (99, 0)], [(101, 2)]), update(1, 0, 2, 2, [(99, 0)], [(102, 1)])])
     long = [(r.capture_seq, r.side, float(r.price), float(r.quantity)) for r in reports.levels_long(rows, "capture_seq").collect()]
-    assert long == [(0, "ask", 101, 2), (0, "bid", 100, 1), (1, "ask", 102, 1), (1, "bid", 99, 0)]
+    assert long == [(0, "ask", 101, 2), (0, "bid", 100, 1), (0, "bid", 99, 0), (1, "ask", 102, 1), (1, "bid", 99, 0)]
     values = spark.createDataFrame([(float(x),) for x in range(1, 201)] + [(None,)], "v double")
     r = reports.percentiles(values, "v").first()
     assert (r["count"], r.p50, r.p95, r.p99, r.worst) == (200, 101, 191, 199, 200)
