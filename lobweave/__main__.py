@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sys
-import time
 
 from pyspark.sql import functions as F
 
 from . import api, session
 from .operators import reports, sequence
-from .plans import features, replay
+from .plans import replay, throughput
 from .sources import capture, logs
 from .streaming import market
 
@@ -22,16 +21,7 @@ def main(args: list[str]) -> int:
     spark = session.get_or_create()
     try:
         if command == "capture":
-            frames, root = rest
-            stamp = time.time_ns()
-            rows = market.parsed_stream(market.frame_stream(spark, frames)).where("error IS NULL").drop("error")
-
-            def write(batch, _):
-                base = capture_base(spark, root, stamp)
-                ready = capture.with_capture_seq(batch.withColumn("session", F.lit(stamp)), ("exchange", "symbol"), "received_ns", base)
-                capture.write_events(ready, root)
-
-            rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+            market.capture_frames(spark, *rest[:2]).awaitTermination()
         elif command == "replay":
             symbol, date = rest[:2]
             speed, root = float(rest[2]) if len(rest) > 2 else 0.0, rest[3] if len(rest) > 3 else api.data_root()
@@ -40,7 +30,7 @@ def main(args: list[str]) -> int:
         elif command == "features":
             symbol, date = rest[:2]
             root = rest[2] if len(rest) > 2 else api.data_root()
-            replay.replay_features(spark, root, api.EXCHANGE, symbol, [date]).orderBy("ord").show(50, truncate=False)
+            replay.replay_features(spark, root, api.EXCHANGE, symbol, [date], as_arrived=True).orderBy("ord").show(50, truncate=False)
         elif command == "report":
             rows = capture.read_events(spark, rest[0])
             updates, trades = rows.where("type = 'book_update'"), rows.where("type = 'trade'")
@@ -54,9 +44,8 @@ def main(args: list[str]) -> int:
         elif command == "bench":
             symbol, date = rest[:2]
             rows = capture.read_events(spark, rest[2] if len(rest) > 2 else api.data_root(), api.EXCHANGE, symbol, [date])
-            began, n = time.perf_counter(), rows.count()
-            features.feature_rows(rows).write.format("noop").mode("overwrite").save()
-            print(f"{n} events, {n / (time.perf_counter() - began):.0f} a second")
+            for name, value in throughput.measured(rows, session.work_path(spark, "bench")).items():
+                print(f"{name}: {value:,.1f}")
         else:
             print(__doc__)
             return 2
@@ -68,14 +57,5 @@ def main(args: list[str]) -> int:
     return 0
 
 
-def capture_base(spark, root: str, stamp: int) -> int:
-    """The next capture_seq of a session."""
-    try:
-        last = capture.read_events(spark, root).where(F.col("session") == stamp).agg(F.max("capture_seq")).first()[0]
-    except capture.CaptureNotFound:
-        return 0
-    return 0 if last is None else last + 1
-
-
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))

@@ -42,22 +42,6 @@ def imbalance(bids: Column | str, asks: Column | str, n: int) -> Column:
     return ratio(b - a, b + a)
 
 
-def order_flow(prev_bid: Column, prev_ask: Column, bid: Column, ask: Column) -> Column:
-    """Size added at the bid less size added at the ask between two touches; null where one is one-sided."""
-    zero = F.expr("cast(0 as decimal(18,8))")
-    part = lambda cond, x: F.when(cond, x).otherwise(zero)
-    whole = prev_bid.isNotNull() & prev_ask.isNotNull() & bid.isNotNull() & ask.isNotNull()
-    flow = part(bid["price"] >= prev_bid["price"], bid["quantity"]) - part(bid["price"] <= prev_bid["price"], prev_bid["quantity"])
-    flow = flow - part(ask["price"] <= prev_ask["price"], ask["quantity"]) + part(ask["price"] >= prev_ask["price"], prev_ask["quantity"])
-    return F.when(whole, flow).cast("decimal(20,8)")
-
-
-def squared_return(prev_mid: Column, mid: Column) -> Column:
-    """Squared log return, null where the mid price is unknown or unchanged."""
-    step = F.log1p((mid - prev_mid).cast("double") / prev_mid.cast("double"))
-    return F.when(prev_mid.isNotNull() & mid.isNotNull() & (mid != prev_mid), step * step)
-
-
 #: Named builders over columns bids and asks; a further feature is one more entry.
 INSTANT = {
     "best_bid": lambda: best("bids")["price"],

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import TYPES
+from ..schemas import STREAMS, TYPES, struct
+from ..sources import capture
 
 # fixed values: limits of a page and the approximate size of its rows
 DEFAULT_LIMIT, MAX_LIMIT, BYTE_BUDGET = 500, 5_000, 4 * 1024 * 1024
@@ -87,10 +90,7 @@ def event_json() -> Column:
 
 
 def catalogue(events: DataFrame, keys=("date", "session")) -> DataFrame:
-    """Rows and ranges for each date, session and stream, and the session's events.
-
-    Over Parquet with aggregate push-down this reads footers alone.
-    """
+    """Rows and ranges for each date, session and stream, and the session's events."""
     stream = F.create_map(*[F.lit(x) for pair in ((v, k) for k, v in TYPES.items()) for x in pair])
     rows = events.groupBy(*keys, stream[F.col("type")].alias("stream")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -100,6 +100,43 @@ def catalogue(events: DataFrame, keys=("date", "session")) -> DataFrame:
     return rows.withColumn("events", F.sum("rows").over(Window.partitionBy(*keys)))
 
 
+def catalogue_of(spark: SparkSession, root: str, exchange: str, symbol: str, date: str | None = None) -> DataFrame:
+    """``catalogue`` of a capture with the bytes of each stream's files, from footers and file listings alone.
+
+    Each stream is grouped by all its partition columns first, so counts and ranges are
+    pushed into the scan, which answers them from the footers.
+    """
+    footers = spark.newSession()
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"), ("spark.sql.session.timeZone", "UTC")):
+        footers.conf.set(name, value)
+    files = capture.sizes(footers, root)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    files = files.where((part("exchange") == exchange) & (part("symbol") == symbol.upper())).select(part("date").alias("date"), part("session").cast("bigint").alias("session"), F.regexp_extract("path", r"/(\w+)/exchange=", 1).alias("stream"), "bytes")
+    sizes = files.groupBy("date", "session", "stream").agg(F.sum("bytes").alias("bytes"))
+    counted = []
+    for stream in TYPES:
+        try:
+            rows = footers.read.schema(struct(f"{STREAMS[stream]}, date STRING, session BIGINT, batch BIGINT")).parquet(f"{root}/{stream}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        rows = rows.where((F.col("exchange") == exchange) & (F.col("symbol") == symbol.upper()))
+        rows = rows.where(F.col("date") == date) if date else rows
+        found = rows.groupBy(*capture.PARTITIONS).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("capture_seq").alias("s0"), F.max("capture_seq").alias("s1"),
+            F.min("timestamp_ns").alias("t0"), F.max("timestamp_ns").alias("t1"),
+        )
+        counted.append(found.groupBy("date", "session", F.lit(stream).alias("stream")).agg(
+            F.sum("n").alias("rows"), F.min("s0").alias("first_seq"), F.max("s1").alias("last_seq"), F.min("t0").alias("first_ns"), F.max("t1").alias("last_ns"),
+        ))
+    if not counted:
+        raise capture.CaptureNotFound(root)
+    rows = reduce(DataFrame.unionAll, counted).join(sizes, ["date", "session", "stream"], "left")
+    return rows.withColumn("events", F.sum("rows").over(Window.partitionBy("date", "session")))
+
+
 def export(events: DataFrame, stream: str, path: str, single: bool = True) -> None:
     """One stream merged in the order of (session, capture_seq), zstd; features are refused."""
     if stream not in TYPES:
@@ -109,7 +146,5 @@ def export(events: DataFrame, stream: str, path: str, single: bool = True) -> No
 
 
 def exported(events: DataFrame, stream: str) -> DataFrame:
-    from ..schemas import STREAMS, struct
-
     names = [f.name for f in struct(STREAMS[stream])]
     return events.where(F.col("type") == TYPES[stream]).select("session", *names).orderBy("session", "capture_seq")

@@ -55,6 +55,36 @@ def joined_to_snapshot(snapshots: DataFrame, buffered: DataFrame, keys=KEYS) ->
     return kept.withColumn("too_old", first > F.col("snapshot_seq") + 1)
 
 
+def seeded(events: DataFrame, keys=KEYS) -> DataFrame:
+    """Events as they arrived, put in the order in which a feed hands them on.
+
+    A session starts at the beginning and anew after each gap in the updates. It is
+    seeded by its first snapshot that isn't too old for its first update; before
+    that nothing counts. The snapshot comes first, then the trades that arrived
+    before it, then those of the earlier updates that go on from it, then all that
+    arrived later; updates that the snapshot covers drop out, and so do sessions
+    without a snapshot. Rows that are in that order already stay as they are.
+    ``attempt`` numbers the sessions; capture_seq is dense in the new order.
+    """
+    w = Window.partitionBy(*keys).orderBy("session", "capture_seq")
+    update, book = F.col("type") == "book_update", F.col("type") == "snapshot"
+    seen = F.max(F.when(update | book, F.col("last_seq"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.coalesce(update & (F.col("first_seq") > seen + 1), F.lit(False))
+    rows = events.withColumn("_gap", gap.cast("bigint"))
+    rows = rows.withColumn("attempt", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    whole = Window.partitionBy(*keys, "attempt")
+    rows = rows.withColumn("_from", F.min(F.when(update, F.col("first_seq"))).over(whole))
+    place = F.struct("session", "capture_seq", "last_seq")
+    rows = rows.withColumn("_seed", F.min(F.when(book & (F.col("last_seq") + 1 >= F.coalesce("_from", F.lit(0))), place)).over(whole))
+    early = F.struct("session", "capture_seq") < F.struct("_seed.session", "_seed.capture_seq")
+    is_seed = book & (F.col("session") == F.col("_seed.session")) & (F.col("capture_seq") == F.col("_seed.capture_seq"))
+    rank = F.when(is_seed, 0).when(early & book, None).when(early & ~update, 1).when(update & (F.col("last_seq") <= F.col("_seed.last_seq")), None).when(early, 2).otherwise(3)
+    rows = rows.withColumn("_rank", F.when(F.col("_seed").isNotNull(), rank)).where("_rank IS NOT NULL")
+    order = Window.partitionBy(*keys).orderBy("attempt", "_rank", "session", "capture_seq")
+    rows = rows.withColumns({"_n": F.row_number().over(order).cast("bigint") - 1, "session": F.min("session").over(whole)})
+    return rows.withColumn("capture_seq", F.col("_n")).drop("_n", "_from", "_seed", "_rank")
+
+
 def contiguity(updates: DataFrame, keys=KEYS) -> DataFrame:
     """Updates with expected (the number that should come first) and gap, message: as the feed checks them, epoch by epoch."""
     rows = sequenced(updates, keys)

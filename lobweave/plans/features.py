@@ -75,7 +75,15 @@ def outcome_counts(events: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def latest_state(events: DataFrame, keys=KEYS, trades: int = 100) -> DataFrame:
+def last_trades(events: DataFrame, n: int = 100, keys=KEYS) -> DataFrame:
+    """trades: the last n of each instrument, newest first; each task keeps n before rows are shuffled."""
+    place = Window.partitionBy(*keys).orderBy(F.desc("session"), F.desc("capture_seq"))
+    rows = events.where("type = 'trade'").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n)
+    one = F.struct("_n", "session", "capture_seq", "timestamp_ns", "trade_id", "price", "quantity", "aggressor")
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("trades"))
+
+
+def latest_state(events: DataFrame, keys=KEYS) -> DataFrame:
     """What a live reader would see at the end: state, last_seq, number of events and snapshots, last trade and whether features are known.
 
     Features are known while the last observed book row is an applied update and

@@ -125,6 +125,31 @@ SQL = {
     "null_counts": _q(FX_BOOK, """SELECT * FROM (SELECT 'first_seq' AS "column", count(*) FILTER (type <> 'book_update') AS nulls FROM fx_book UNION ALL SELECT 'last_seq', count(*) FILTER (seq IS NULL) FROM fx_book
         UNION ALL SELECT 'trade_id', count(*) FILTER (type <> 'trade') FROM fx_book UNION ALL SELECT 'price', count(*) FILTER (price IS NULL) FROM fx_book UNION ALL SELECT 'quantity', count(*) FILTER (quantity IS NULL) FROM fx_book
         UNION ALL SELECT 'aggressor', count(*) FILTER (aggressor IS NULL) FROM fx_book UNION ALL SELECT 'bids', count(*) FILTER (type = 'trade') FROM fx_book UNION ALL SELECT 'asks', count(*) FILTER (type = 'trade') FROM fx_book)"""),
+    "session_from_filename": _q(FX_TRADES, "SELECT session, 1 AS files, count(*) AS trades, min(capture_seq) AS first_seq, max(capture_seq) AS last_seq FROM fx_trades GROUP BY session"),
+    "latest_ring": _q(FX_BOOK, "SELECT symbol, n - 1 AS n, trade_id, timestamp_ns, aggressor FROM (SELECT symbol, event_id AS trade_id, timestamp_ns, aggressor, row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) AS n FROM fx_book WHERE type = 'trade') WHERE n <= 100"),
+    "book_event_json": _q(
+        FX_BOOK,
+        """
+SELECT symbol, capture_seq, 200 + 60 * coalesce(n, 0) AS size,
+       '{"type":"' || type || '","session":1,"exchange":"tpch","symbol":"' || symbol || '","timestamp_ns":' || timestamp_ns || ',"received_ns":' || received_ns || ',"last_seq":' || seq
+       || CASE WHEN type = 'book_update' THEN ',"first_seq":' || seq ELSE '' END || ',"bids":[' || coalesce(bids, '') || '],"asks":[' || coalesce(asks, '') || ']}' AS body
+FROM fx_book LEFT JOIN (
+  SELECT symbol, rn, count(*) AS n, string_agg(x, ',' ORDER BY price DESC) FILTER (side = 'bid') AS bids, string_agg(x, ',' ORDER BY price) FILTER (side = 'ask') AS asks
+  FROM (SELECT *, '{"price":"' || CAST(price AS DECIMAL(38,18)) || '","quantity":"' || CAST(quantity AS DECIMAL(38,18)) || '"}' AS x FROM fx_levels) GROUP BY symbol, rn) l USING (symbol, rn)
+WHERE type <> 'trade'""",
+    ),
+    "seeded_feed": _q(
+        FX_BOOK
+        + """,
+s_gap AS (SELECT *, coalesce(type = 'book_update' AND seq > max(seq) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, false) AS gap FROM fx_book),
+s_try AS (SELECT *, sum(gap::BIGINT) OVER (PARTITION BY symbol ORDER BY rn) AS attempt FROM s_gap),
+s_seed AS (SELECT symbol, attempt, min(s.rn) AS seed FROM s_try s JOIN (SELECT symbol, attempt, coalesce(min(seq) FILTER (type = 'book_update'), 0) AS lo FROM s_try GROUP BY ALL) USING (symbol, attempt) WHERE type = 'snapshot' AND seq + 1 >= lo GROUP BY symbol, attempt),
+s_at AS (SELECT t.*, seed, (SELECT x.seq FROM fx_book x WHERE x.symbol = t.symbol AND x.rn = seed) AS base FROM s_try t JOIN s_seed USING (symbol, attempt)),
+s_rank AS (SELECT *, CASE WHEN rn = seed THEN 0 WHEN rn < seed AND type = 'snapshot' THEN NULL WHEN rn < seed AND type = 'trade' THEN 1 WHEN type = 'book_update' AND seq <= base THEN NULL WHEN rn < seed THEN 2 ELSE 3 END AS r FROM s_at)""",
+        """
+SELECT symbol, attempt::BIGINT AS attempt, row_number() OVER (PARTITION BY symbol ORDER BY attempt, r, rn) - 1 AS capture_seq, type, timestamp_ns, seq AS last_seq, CASE WHEN type = 'trade' THEN event_id END AS trade_id
+FROM s_rank WHERE r IS NOT NULL""",
+    ),
     "latest_trades": _q(FX_BOOK, "SELECT symbol, trade_id, price::DOUBLE AS price, quantity::DOUBLE AS quantity, aggressor, n FROM (SELECT symbol, event_id AS trade_id, price, quantity, aggressor, row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) AS n FROM fx_book WHERE type = 'trade') WHERE n <= 50"),
     "stale_gaps": _q(FX_BOOK, "SELECT * FROM (SELECT symbol, capture_seq, received_ns - lag(received_ns) OVER (PARTITION BY symbol ORDER BY capture_seq) AS silence_ns FROM fx_book) WHERE silence_ns > 1800000000000"),
     "snapshot_join": _q(

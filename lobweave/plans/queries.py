@@ -10,7 +10,7 @@ from ..functions import features as f
 from ..functions.numerics import to_ns, utc_date
 from ..operators import book, reports, research, sequence
 from ..operators.rolling import clock
-from ..schemas import FEATURE_NAMES
+from ..schemas import EVENTS, FEATURE_NAMES, LEVELS, struct
 from ..session import work_path
 from ..sources import capture, frames, logs
 from . import features, replay
@@ -44,7 +44,7 @@ def capture_seq_assign(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("symbol"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     rn = F.row_number().over(Window.partitionBy("symbol").orderBy("event_id"))
     kept = e.withColumn("rn", rn).where(~((F.col("rn") % 400 != 1) & (F.col("k") % 4 != 3) & (F.col("rn") % 1300 == 700)))
-    return capture.with_capture_seq(kept, ("symbol",), "event_id").select("symbol", "event_id", "capture_seq")
+    return capture.with_capture_seq(kept, ("symbol",), ("event_id",)).select("symbol", "event_id", "capture_seq")
 
 
 def partition_date(spark: SparkSession, d: str) -> DataFrame:
@@ -103,10 +103,31 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_from_filename(spark: SparkSession, d: str) -> DataFrame:
-    """A day written in the flat layout's names, listed and read back by session."""
-    names = spark.range(3).select(F.concat(F.lit("/x/trades-"), (F.col("id") + 1788307200).cast("string"), F.lit(".parquet")).alias("path"))
-    names = names.union(spark.createDataFrame([("/x/features-1.parquet",), ("/x/notes.txt",)], "path string"))
-    return names.select("path", *capture.session_of("path"))
+    """All trades written in the flat layout, a file for each session, and read back by the sessions in the names."""
+    path = work_path(spark, "flat")
+    names = [x.name for x in struct(EVENTS)]
+    missing = {c: F.lit(None).cast(t) for c, t in (("first_seq", "bigint"), ("last_seq", "bigint"), ("bids", LEVELS), ("asks", LEVELS))}
+    capture.write_flat(fx_trades(spark, d).withColumns(missing).select(names), path)
+    files = capture.flat_files(spark, path).groupBy("session").agg(F.count(F.lit(1)).alias("files"))
+    rows = capture.read_flat(spark, path).groupBy("session").agg(F.count(F.lit(1)).alias("trades"), F.min("capture_seq").alias("first_seq"), F.max("capture_seq").alias("last_seq"))
+    return rows.join(files, "session")
+
+
+def latest_ring(spark: SparkSession, d: str) -> DataFrame:
+    """The last 100 trades of each instrument, newest first."""
+    ring = features.last_trades(fx_book(spark, d))
+    return ring.select("symbol", F.posexplode("trades").alias("n", "t")).select("symbol", "n", "t.trade_id", "t.timestamp_ns", "t.aggressor")
+
+
+def book_event_json(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots and updates as JSON, and the size that pages count for each."""
+    rows = fx_book(spark, d).where("type <> 'trade'")
+    return rows.select("symbol", "capture_seq", research.event_json().alias("body"), research.approx_size().alias("size"))
+
+
+def seeded_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Events put in the order of a feed that starts anew after each gap."""
+    return sequence.seeded(fx_book(spark, d)).select("symbol", "attempt", "capture_seq", "type", "timestamp_ns", "last_seq", "trade_id")
 
 
 def _applied(spark: SparkSession, d: str) -> DataFrame:
@@ -242,6 +263,6 @@ QUERIES = {
         trades_by_aggressor, trades_ordered_page, trades_time_range, catalogue_sessions, capture_seq_assign, partition_date, replay_order_union, replay_pacing_offsets,
         export_merged, levels_long_form, sequence_gaps, sequence_span, null_counts, latest_trades, stale_gaps, snapshot_join, latency_percentiles, session_from_filename,
         book_apply_result, book_result_counts, book_touch, book_top_levels, book_as_of, book_spread_mid_micro, book_depth_imbalance, flow_clock, flow_vwap,
-        flow_trade_imbalance, flow_ofi, flow_realised_vol, feature_snapshot, latest_state, parse_frames, parse_snapshot, event_json, contiguity_check, log_heartbeat, stream_equals_batch,
+        flow_trade_imbalance, latest_ring, book_event_json, seeded_feed, flow_ofi, flow_realised_vol, feature_snapshot, latest_state, parse_frames, parse_snapshot, event_json, contiguity_check, log_heartbeat, stream_equals_batch,
     )
 }

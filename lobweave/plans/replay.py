@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequence import seeded
 from ..schemas import KEYS, WINDOW_NS
 from ..sources.capture import read_events, read_partition
 from .features import feature_rows
@@ -37,6 +38,10 @@ def replay_partition(spark: SparkSession, root: str, exchange: str, symbol: str,
     yield from replay(read_partition(spark, root, exchange, symbol, date), speed)
 
 
-def replay_features(spark: SparkSession, root: str, exchange: str | None = None, symbol: str | None = None, dates: list[str] | None = None, window_ns: int = WINDOW_NS) -> DataFrame:
-    """Feature rows of recorded days; each day starts with an empty book, so days are independent partitions."""
-    return feature_rows(read_events(spark, root, exchange, symbol, dates), window_ns, (*KEYS, "date"))
+def replay_features(spark: SparkSession, root: str, exchange: str | None = None, symbol: str | None = None, dates: list[str] | None = None, window_ns: int = WINDOW_NS, as_arrived: bool = False) -> DataFrame:
+    """Feature rows of recorded days; each day starts with an empty book, so days are independent partitions.
+
+    as_arrived: the capture holds events as they came off the wire and not as a feed hands them on.
+    """
+    keys, rows = (*KEYS, "date"), read_events(spark, root, exchange, symbol, dates)
+    return feature_rows(seeded(rows, keys) if as_arrived else rows, window_ns, keys)

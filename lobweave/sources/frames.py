@@ -73,27 +73,38 @@ def parse_trades(raw: DataFrame, column: str = "raw", strict: bool = False) -> D
 
 
 def parse_stream(raw: DataFrame, column: str = "raw", strict: bool = False) -> DataFrame:
-    """Enveloped frames of both kinds -> tagged rows (type, all columns of both)."""
+    """Enveloped frames -> tagged rows (type, all columns of all kinds).
+
+    A snapshot comes under a stream name like ``btcusdt@snapshot``, with the body
+    that the venue answers with, and is stamped on receipt.
+    """
     inner = raw.withColumn("_data", F.get_json_object(column, "$.data"))
-    rows, f = _parsed(inner, "_data", _FRAME)
+    rows, f = _parsed(inner, "_data", f"{_FRAME}, {_SNAPSHOT}")
     received = F.col("received_ns") if "received_ns" in raw.columns else F.lit(None).cast("bigint")
-    error = F.when(F.col("_data").isNull(), F.lit("no data in the frame")).when(f["e"].isNull() | ~f["e"].isin("depthUpdate", "trade"), F.concat(F.lit("unknown event: "), F.coalesce(f["e"], F.lit("none"))))
-    is_trade = f["e"] == "trade"
+    is_trade, is_snapshot = F.coalesce(f["e"] == "trade", F.lit(False)), f["e"].isNull() & f["lastUpdateId"].isNotNull()
+    error = F.when(F.col("_data").isNull(), F.lit("no data in the frame")).when(~is_snapshot & (f["e"].isNull() | ~f["e"].isin("depthUpdate", "trade")), F.concat(F.lit("unknown event: "), F.coalesce(f["e"], f["msg"], F.lit("none"))))
+    name = F.upper(F.substring_index(F.get_json_object(column, "$.stream"), "@", 1))
+    error = error.when(is_snapshot & (received.isNull() | name.isNull()), F.lit("a snapshot without stream or time of receipt"))
     depth, trade = _depth(f, received), _trade(f, received)
-    columns = {"type": F.when(is_trade, "trade").otherwise("book_update")}
+    snapshot = _snapshot(f, name, received)
+    columns = {"type": F.when(is_trade, "trade").when(is_snapshot, "snapshot").otherwise("book_update")}
     for name in dict.fromkeys((*depth, *trade)):
-        a, b = trade.get(name), depth.get(name)
-        columns[name] = F.when(is_trade, a).otherwise(b) if a is not None and b is not None else F.when(is_trade, a) if a is not None else F.when(~is_trade, b)
+        none = F.lit(None)
+        columns[name] = F.when(is_trade, trade.get(name, none)).when(is_snapshot, snapshot.get(name, none)).otherwise(depth.get(name, none))
     return _checked(rows, error, columns, tuple(c for c in raw.columns if c not in (column, "received_ns")), strict)
 
 
+def _snapshot(f: dict[str, Column], symbol: Column, received: Column) -> dict[str, Column]:
+    return {
+        "exchange": F.lit(EXCHANGE), "symbol": symbol, "timestamp_ns": received, "received_ns": received,
+        "last_seq": f["lastUpdateId"], "bids": _levels(f["bids"]), "asks": _levels(f["asks"]),
+    }
+
+
 def parse_snapshots(raw: DataFrame, column: str = "raw", strict: bool = False) -> DataFrame:
     """raw, symbol, received_ns -> snapshots, stamped on receipt; an error body gives its message."""
     rows, f = _parsed(raw, column, _SNAPSHOT)
-    columns = {
-        "exchange": F.lit(EXCHANGE), "symbol": F.upper("symbol"), "timestamp_ns": F.col("received_ns"), "received_ns": F.col("received_ns"),
-        "last_seq": f["lastUpdateId"], "bids": _levels(f["bids"]), "asks": _levels(f["asks"]),
-    }
+    columns = _snapshot(f, F.upper("symbol"), F.col("received_ns"))
     error = F.when(f["lastUpdateId"].isNull(), F.coalesce(f["msg"], F.lit("not a snapshot")))
     return _checked(rows, error, columns, tuple(c for c in raw.columns if c not in (column, "symbol", "received_ns")), strict)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 # fixed value: the format of a heartbeat line
 HEARTBEAT = r"^([\d-]+ [\d:]+)\s+mid ([\d.]+).*?([\d,]+) events\s+([\d,]+) trades\s+(\d+) snapshot\(s\)\s+(\d+) rejected"
@@ -47,3 +50,26 @@ def log_summary(lines: DataFrame) -> DataFrame:
 def write_frames(frames: DataFrame, path: str, column: str = "raw") -> None:
     """Verbatim frames, one a line."""
     frames.select(column).write.mode("append").text(path)
+
+
+class Heartbeat(StreamingQueryListener):
+    """Prints a status line of a running stream, at most one every so many seconds."""
+
+    def __init__(self, every_s: float = 300.0, write=print, clock=time.monotonic):
+        self.every_s, self.write, self.clock, self.last, self.rows = every_s, write, clock, None, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.write(f"start {event.name or event.id}")
+
+    def onQueryProgress(self, event) -> None:
+        p, now = event.progress, self.clock()
+        self.rows += p.numInputRows
+        if self.last is None or now - self.last >= self.every_s:
+            self.last = now
+            self.write(f"{p.timestamp}  {self.rows:,} events  {p.processedRowsPerSecond or 0:,.0f} a second  batch {p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.write(f"end {event.id}" + (f"  !! {event.exception}" if event.exception else ""))

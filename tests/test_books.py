@@ -1,5 +1,6 @@
 """Books and features: literal cases, and the batch plan against the event-by-event kernel."""
 
+import random
 from decimal import Decimal as Dec
 
 import pytest
@@ -167,3 +168,26 @@ def test_latest_state(spark):
     r = state([SEED, update(1, 1, 101, 101), update(2, 2, 109, 110)])
     assert (r.state, r.has_features) == ("INVALID", False)
     assert state([event("trade", 0, 1, price=Dec(1), quantity=Dec(1), aggressor="buy", trade_id=5)]).state == "EMPTY"
+
+
+def test_deep_books_and_long_epochs(spark):
+    """Sides of 1,000 levels and epochs that span many batches: the best levels by a model that sorts all of them each time."""
+    rng = random.Random(8)
+    rows, books = [], ({}, {})
+    deep = [(10_000 - k, 1 + k % 7) for k in range(1000)], [(10_001 + k, 1 + k % 5) for k in range(1000)]
+    rows.append(snapshot(0, 0, 0, *deep))
+    books = tuple(dict(side) for side in deep)
+    want = {}
+    for k in range(1, 400):
+        bids, asks = ([(10_000 + sign * rng.randrange(1000) + (sign > 0), rng.choice([0, 0, 3, 9])) for _ in range(rng.randint(0, 30))] for sign in (-1, 1))
+        for side, changes in zip(books, (bids, asks)):
+            side.update(changes)
+        rows.append(update(k, k, k, k, bids, asks))
+        alive = [{p: q for p, q in side.items() if q} for side in books]
+        want[k] = [(p, alive[0][p]) for p in sorted(alive[0], reverse=True)[:10]], [(p, alive[1][p]) for p in sorted(alive[1])[:10]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = book.applied(sequence.ordered(frame(spark, rows))).where("type = 'book_update'").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.ord - 1: tuple([(int(x.price), int(x.quantity)) for x in side] for side in (r.bids, r.asks)) for r in got} == want

@@ -1,9 +1,12 @@
 """Frames, captures, replay, research reads, logs, streaming, the service and the driver's queries."""
 
 import json
+import os
+import shutil
 import threading
 import urllib.error
 import urllib.request
+from types import SimpleNamespace
 
 import pytest
 from events import NAMES, frame, random_events, snapshot, trade, update
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lobweave import api
 from lobweave.fixtures import fx_book
-from lobweave.operators import reports, research
+from lobweave.operators import reports, research, sequence
 from lobweave.plans import features, oracle, queries, replay
 from lobweave.schemas import FEATURES, struct
 from lobweave.sources import capture, frames, logs
@@ -90,6 +93,11 @@ def test_capture_round_trip_order_and_pages(spark, tmp_path):
     assert reader.events("BTCUSDT", "2026-09-02", session=1, start_seq=5, end_seq=9)["count"] == 5
     assert reader.events("BTCUSDT", "2026-09-02", session=99)["count"] == 0
     sessions = reader.sessions("BTCUSDT")
+    assert all(s["bytes"] > 0 and s["events"] == sum(x["rows"] for x in sessions if x["session"] == s["session"]) for s in sessions)
+    plan = research.catalogue_of(spark, root, "binance", "BTCUSDT", "2026-09-02")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*), MIN(capture_seq)") == 3
+    want = {(r["date"], r["session"], r["stream"]): r for r in (x.asDict() for x in research.catalogue(capture.read_events(spark, root)).collect())}
+    assert all(want[s["date"], s["session"], s["stream"]] == {k: v for k, v in s.items() if k != "bytes"} for s in sessions) and len(want) == len(sessions)
     assert sum(s["rows"] for s in sessions) == len(rows) and {s["session"] for s in sessions} == {1, 2} and reader.sessions("NONE") == []
     for call, status in ((lambda: reader.events("BTCUSDT", "2026-09-02", "x"), 400), (lambda: reader.events("BTCUSDT", "2026-09-02", limit=0), 422), (lambda: reader.events("BTCUSDT", "2020-01-01"), 404), (lambda: reader.export("BTCUSDT", "2026-09-02", "features", "x"), 400)):
         with pytest.raises(api.ApiError) as e:
@@ -110,8 +118,14 @@ def test_foreign_events_are_refused(spark, tmp_path):
         capture.checked(frame(spark, [trade(0, T0, 1, 1, symbol="X")]), symbol="BTCUSDT").collect()
     with pytest.raises(Exception, match="foreign or unknown"):
         capture.checked(frame(spark, [trade(0, T0, 1, 1) | {"type": "odd"}])).collect()
-    rows = capture.with_capture_seq(frame(spark, day_rows()).drop("capture_seq"), ("symbol",), "received_ns", 100)
+    rows = capture.with_capture_seq(frame(spark, day_rows()).drop("capture_seq"), ("symbol",), ("received_ns", "last_seq"), spark.createDataFrame([("BTCUSDT", 99)], "symbol string, last_capture_seq long"))
     assert sorted(r.capture_seq for r in rows.collect()) == list(range(100, 100 + len(day_rows())))
+    with pytest.raises(Exception, match="foreign or unknown"):
+        capture.write_events(frame(spark, [trade(0, T0, 1, 1), trade(1, T0, 1, 1) | {"type": "odd"}]), str(tmp_path))
+    rolled = capture.rolled(frame(spark, [trade(k, T0, 1, 1, session=5) for k in range(7)]), 3).orderBy("capture_seq").collect()
+    assert [(r.session, r.capture_seq) for r in rolled] == [(5, 0), (5, 1), (5, 2), (6, 3), (6, 4), (6, 5), (7, 6)]
+    with pytest.raises(Exception, match="more than 8 decimal places"):
+        features.feature_rows(frame(spark, [snapshot(0, T0, 1, [("1.123456789", 1)], [(2, 1)])])).collect()
 
 
 def test_flat_layout_and_broken_files(spark, tmp_path):
@@ -169,15 +183,78 @@ def test_logs(spark, tmp_path):
     assert [r.events for r in logs.heartbeats(logs.heartbeat_lines(beats.where("midprice > 0"), 30)).orderBy("at").collect()] == [0, 30, 60]
     reports.write_csv(frame(spark, day_rows()).where("type = 'trade'").select("symbol", "price"), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() > 0
+    books = frame(spark, [snapshot(0, T0, 1, [(100, 1), (99, 0)], [("101.000000000000000001", 2)]), update(1, T0, 2, 2, [(99, 0)])])
+    reports.write_csv(books, f"{tmp_path}/books")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/books").orderBy("capture_seq", "side", F.desc("price")).collect()
+    assert [(r.side, r.price[:24], float(r.quantity)) for r in back] == [("ask", "101.000000000000000001", 2), ("bid", "99.000000000000000000", 0), ("bid", "100.000000000000000000", 1), ("bid", "99.000000000000000000", 0)]
+    said = []
+    beat = logs.Heartbeat(10, said.append, iter((0.0, 5.0, 11.0)).__next__)
+    for k in range(3):
+        beat.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=600, timestamp=f"t{k}", processedRowsPerSecond=9.0, batchId=k)))
+    assert said == ["t0  600 events  9 a second  batch 0", "t2  1,800 events  9 a second  batch 2"]
+
+
+def wire(name, data):
+    return json.dumps({"stream": f"btcusdt@{name}", "data": data})
+
+
+def depth(first, last, bids=(), asks=()):
+    return wire("depth", {"e": "depthUpdate", "E": 1788376136014 + last, "s": "BTCUSDT", "U": first, "u": last, "b": list(bids), "a": list(asks)})
+
+
+def match(k):
+    return wire("trade", TRADE | {"t": k, "T": 1788376136011 + k})
 
 
-def test_stream_of_frames_and_records(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("\n".join(json.dumps({"stream": "x", "data": d}) for d in (DEPTH, TRADE)) + "\n{bad\n")
-    rows = market.parsed_stream(market.frame_stream(spark, f"{tmp_path}/in")).where("error IS NULL")
-    rows = rows.drop("error").withColumn("session", F.lit(1).cast("long")).withColumn("capture_seq", F.coalesce("trade_id", "last_seq"))
-    market.record_stream(rows, f"{tmp_path}/root", f"{tmp_path}/check").awaitTermination()
-    assert sorted(r.type for r in capture.read_events(spark, f"{tmp_path}/root").collect()) == ["book_update", "trade"]
+def put(folder, name, lines, at):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n")
+    os.utime(folder / name, (at, at))
+
+
+def test_capture_to_features_in_two_runs_with_a_retry(spark, tmp_path):
+    """Frames with a buffered start, a gap and a new snapshot: numbered by arrival, written once, seeded like a feed, then features."""
+    body = lambda last, low: {"lastUpdateId": last, "bids": [[str(low), "5"]], "asks": [[str(low + 1), "4"]]}
+    first = [match(1), depth(1, 5), depth(6, 10, [["100", "7"]]), "{broken", wire("snapshot", body(7, 100)), match(2), depth(11, 15, [], [["101", "3"]])]
+    second = [depth(21, 25), match(3), wire("snapshot", body(23, 90)), depth(26, 30, [["90", "1"]]), match(4)]
+    put(tmp_path / "in", "b.txt", first, 1_788_376_140)
+    root = str(tmp_path / "root")
+    market.capture_frames(spark, str(tmp_path / "in"), root, roll_rows=4).awaitTermination()
+    put(tmp_path / "in", "a.txt", second, 1_788_376_150)  # a later arrival under an earlier name
+    market.capture_frames(spark, str(tmp_path / "in"), root, roll_rows=4).awaitTermination()
+    rows = capture.read_events(spark, root).orderBy("session", "capture_seq").collect()
+    assert [r.capture_seq for r in rows] == list(range(11))
+    assert [r.session - rows[0].session for r in rows] == [0] * 4 + [1] * 4 + [2] * 3
+    assert [r.type[0] + str(r.trade_id or r.last_seq) for r in rows] == ["t1", "b5", "b10", "s7", "t2", "b15", "b25", "t3", "s23", "b30", "t4"]
+    # the second batch is tried again, after a failure that had left one of its streams
+    shutil.rmtree(f"{root}/snapshots/exchange=binance/symbol=BTCUSDT/date={rows[8].date}/session={rows[8].session}/batch=1")
+    (tmp_path / "root" / "_checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "root" / "_checkpoint" / "commits" / ".1.crc").unlink()
+    market.capture_frames(spark, str(tmp_path / "in"), root, roll_rows=4).awaitTermination()
+    assert capture.read_events(spark, root).orderBy("session", "capture_seq").collect() == rows
+    fed = sequence.seeded(capture.read_events(spark, root)).orderBy("session", "capture_seq")
+    assert [(r.attempt, r.type[0] + str(r.trade_id or r.last_seq)) for r in fed.collect()] == [(0, x) for x in ("s7", "t1", "b10", "t2", "b15")] + [(1, x) for x in ("s23", "t3", "b25", "b30", "t4")]
+    got = replay.replay_features(spark, root, as_arrived=True).orderBy("ord").collect()
+    assert [(float(r.best_bid), float(r.bid_depth_10)) for r in got] == [(100, 7), (100, 7), (90, 5), (90, 1)]
+    again = sequence.seeded(fed.drop("attempt")).orderBy("session", "capture_seq")  # what is in order stays
+    keep = ("capture_seq", "type", "last_seq", "trade_id")
+    assert again.select(*keep).collect() == fed.select(*keep).collect()
+
+
+def test_seeding_rules(spark):
+    kinds = lambda rows: [r.type[0] + str(r.last_seq or r.trade_id) for r in sequence.seeded(frame(spark, rows)).orderBy("session", "capture_seq").collect()]
+    assert kinds([update(0, 0, 10, 12), snapshot(1, 1, 5, [], []), snapshot(2, 2, 9, [], []), update(3, 3, 13, 14)]) == ["s9", "b12", "b14"]  # the first snapshot is too old
+    assert kinds([update(0, 0, 10, 12), trade(1, 1, 5, 5)]) == []
+    assert kinds([snapshot(0, 0, 9, [], []), update(1, 1, 3, 9), update(2, 2, 10, 11), snapshot(3, 3, 11, [], []), update(4, 4, 12, 12)]) == ["s9", "b11", "s11", "b12"]
+    assert kinds([]) == []
+
+
+def test_silences_in_a_stream(spark, tmp_path):
+    at = [0, 1, 40, 41, 100]
+    frame(spark, [trade(k, T0 + x * 10**9, 1, 1) for k, x in enumerate(at)]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    market.run_to_table(market.silent(market.event_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/check")
+    got = spark.read.schema(market.SILENCE_ROW).parquet(f"{tmp_path}/out").where("until_ns is not null").orderBy("since_ns").collect()
+    assert [(r.since_ns - T0, r.silence_ns) for r in got] == [(10**9, 39 * 10**9), (41 * 10**9, 59 * 10**9)]
 
 
 def test_stateful_stream_equals_batch(spark, tmp_path):
@@ -195,33 +272,67 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out2").count() == len(rows)
 
 
-def test_service(spark):
-    rows = frame(spark, [snapshot(0, T0, 100, [(100, 5)], [(101, 5)]), update(1, T0 + 1, 101, 101, [(100, 7)]), trade(2, T0 + 2, 100.5, 2), trade(3, T0 + 3, 100.6, 2, "sell")])
-    markets = api.Markets(lambda: rows)
+def test_service(spark, tmp_path):
+    rows = [snapshot(0, T0, 100, [(100, 5)], [(101, 5)]), update(1, T0 + 1, 101, 101, [(100, 7)]), trade(2, T0 + 2, 100.5, 2), trade(3, T0 + 3, 100.6, 2, "sell")]
+    live = api.Live().feed(frame(spark, rows))
+    markets = api.Markets(live)
     assert markets.book("btcusdt", 1)["bids"][0]["quantity"].startswith("7.")
     assert markets.features("BTCUSDT")["order_flow_imbalance"].startswith("2.")
     assert [t["trade_id"] for t in markets.trades("BTCUSDT")["trades"]] == [3, 2]
     assert markets.health("BTCUSDT", now_ns=T0 + 10**9)["status"] == "ok" and markets.health("BTCUSDT", now_ns=T0 + 10**12)["stale"]
-    server = api.serve(markets, None, port=0)
+    capture.write_events(frame(spark, rows), f"{tmp_path}/root")
+    server = api.serve(markets, api.Research(spark, f"{tmp_path}/root"), port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     assert json.load(urllib.request.urlopen(f"{base}/markets/BTCUSDT/book?depth=2"))["state"] == "SYNCED"
-    for path, status in (("/markets/XX/book", 404), ("/markets/BTCUSDT/trades?limit=0", 422), ("/nothing", 404)):
+    assert json.load(urllib.request.urlopen(f"{base}/system/health"))["symbol"] == "BTCUSDT"
+    sent = urllib.request.urlopen(f"{base}/research/BTCUSDT/export?date=2026-09-02&stream=trades").read()
+    (tmp_path / "sent.parquet").write_bytes(sent)
+    assert [r.trade_id for r in spark.read.parquet(f"{tmp_path}/sent.parquet").collect()] == [2, 3]
+    assert json.load(urllib.request.urlopen(f"{base}/research/BTCUSDT/sessions"))[0]["bytes"] > 0
+    for path, status in (("/markets/XX/book", 404), ("/markets/BTCUSDT/trades?limit=0", 422), ("/nothing", 404), ("/research/BTCUSDT/export?date=2026-09-02&stream=features", 400), ("/research/BTCUSDT/export?date=2020-09-02&stream=trades", 404)):
         with pytest.raises(urllib.error.HTTPError) as e:
             urllib.request.urlopen(base + path)
         assert e.value.code == status
     server.shutdown()
-    broken = api.Markets(lambda: rows.union(frame(spark, [update(4, T0 + 4, 150, 151)])))
-    with pytest.raises(api.ApiError) as e:
-        broken.book("BTCUSDT")
-    assert e.value.status == 503
+
+
+def test_live_state_goes_on_batch_by_batch(spark, tmp_path):
+    live = api.Live()
+    markets = api.Markets(live)
+    feed = lambda *rows: live.feed(frame(spark, rows))
+    status = lambda call: pytest.raises(api.ApiError, call).value.status
+    assert markets.health()["state"] == "EMPTY" and status(lambda: markets.book("BTCUSDT")) == 404
+    feed(snapshot(0, T0, 100, [(100, 5)], [(101, 5)]))
+    assert markets.book("BTCUSDT")["state"] == "SEEDED" and status(lambda: markets.features("BTCUSDT")) == 404
+    feed(update(1, T0 + 1, 101, 101, [(100, 7)]))
+    known = markets.features("BTCUSDT")
+    feed(update(2, T0 + 2, 90, 95))  # a duplicate leaves the features
+    assert markets.features("BTCUSDT") == known
+    feed(*[trade(3 + k, T0 + 3, 100, 1) for k in range(150)])
+    assert [t["trade_id"] for t in markets.trades("BTCUSDT", 100)["trades"]] == list(range(152, 52, -1))
+    assert [r.trade_id for r in features.last_trades(frame(spark, [trade(3 + k, T0 + 3, 100, 1) for k in range(150)])).first().trades] == list(range(152, 52, -1))
+    feed(update(153, T0 + 4, 150, 151))  # a gap
+    assert status(lambda: markets.book("BTCUSDT")) == 503 and status(lambda: markets.features("BTCUSDT")) == 404
+    assert markets.health("BTCUSDT", now_ns=T0 + 10)["status"] == "degraded"
+    frame(spark, [snapshot(154, T0 + 5, 300, [(99, 1)], [(101, 5)]), update(155, T0 + 6, 301, 301)]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    live.follow(market.event_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/check").awaitTermination()
+    assert markets.book("BTCUSDT")["last_sequence"] == 301 and markets.features("BTCUSDT")["best_bid"].startswith("99.")
+    assert markets.health("BTCUSDT")["snapshots"] == 2
+
+
+def test_throughput_is_measured(spark, tmp_path):
+    from lobweave.plans import throughput
+
+    got = throughput.measured(frame(spark, day_rows()), f"{tmp_path}/bench")
+    assert got["events"] == 60 and all(v > 0 for v in got.values())
 
 
 def test_every_query_has_sql_or_a_reason_and_the_entry_runs(spark):
     import __spark_entry__ as entry
 
     without = set(queries.QUERIES) - set(oracle.SQL)
-    assert without == {"session_from_filename", "log_heartbeat"} and set(oracle.SQL) <= set(queries.QUERIES)
+    assert without == {"log_heartbeat"} and set(oracle.SQL) <= set(queries.QUERIES)
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
