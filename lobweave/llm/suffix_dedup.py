@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 Each text (UTF-8 bytes) is parsed at triggers: a position is one if the rolling
-(Karp-Rabin) hash of the ``GRAM`` bytes from it on is 0 modulo ``MODULUS``; a
-phrase goes from a trigger to the end of the next one's bytes, so triggers are set
+(Karp-Rabin) hash of the ``GRAM`` bytes from it on is among the lowest of one in
+``MODULUS`` values; a phrase goes from a trigger to the end of the next one's bytes, so triggers are set
 by content alone and no phrase is a prefix of another. A window of ``size`` bytes
 belongs to its first trigger; a window without any among its first ``REACH``
 positions lies in a long phrase and belongs to the first least hash there. Equal
@@ -55,7 +55,7 @@ from pyspark.sql import types as T
 from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
 
 SIZE, REACH, GRAM, MODULUS = 100, 50, 8, 48
-SLICE, STRETCH = 50_000, 1 << 20  # anchors worked on at once; positions hashed at once
+SLICE, STRETCH = 10_000, 1 << 20  # anchors worked on at once; positions hashed at once
 COPY, ENTRY, MANY, TABLE, HOT, REST = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 HOT_LEAST, HOT_SHARE, HOT_KEYS = 1_000, 1e-4, 1_000_000  # anchors, and anchors for each document, from which a key is hot; keys sent to all
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -81,7 +81,7 @@ def rolled(data: np.ndarray) -> np.ndarray:
 
 
 def triggers(hashes: np.ndarray) -> np.ndarray:
-    return hashes % np.uint64(MODULUS) == 0
+    return hashes < np.uint64(2**64 // MODULUS)
 
 
 def anchors(data: np.ndarray, size: int = SIZE, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +98,8 @@ def anchors(data: np.ndarray, size: int = SIZE, reach: int = REACH) -> tuple[np.
         width *= 2
     least = np.minimum(least[:n], least[reach - width : reach - width + n])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    place = np.where(triggers(hashes), np.arange(m), 2 * m + size)
-    following = np.minimum.accumulate(place[::-1])[::-1][:n]
+    found = np.append(np.flatnonzero(triggers(hashes)), 2 * m + size)
+    following = np.repeat(found, np.diff(found, prepend=-1))[:n]
     at = np.where(following < np.arange(n) + reach, following, at)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], first, np.concatenate([first[1:], [n]]) - 1
@@ -369,6 +369,17 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _cut_out(rows: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """So many bytes of a row from a start on, filled up with zeros, with the length as the last byte."""
+    n, width = rows.shape
+    wide = np.concatenate([rows, np.zeros((n, width), np.uint8)], axis=1)
+    out = np.empty((len(row), width + 1), np.uint8)
+    out[:, :-1] = np.lib.stride_tricks.sliding_window_view(wide, width, axis=1)[row, start]
+    out[:, :-1][np.arange(width, dtype=np.uint8) >= length[:, None].astype(np.uint8)] = 0
+    out[:, -1] = length
+    return out
+
+
 def dictionary_order(phrases: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of a dictionary: rows of phrases (uint8, set to the right), of which the suffixes of least to most bytes are wanted.
 
@@ -380,9 +391,8 @@ def dictionary_order(phrases: np.ndarray, least: np.ndarray, most: np.ndarray) -
     begin = np.concatenate([[0], np.cumsum(count)])
     phrase = np.repeat(np.arange(len(phrases)), count)
     length = np.arange(begin[-1]) - np.repeat(begin[:-1] - least, count)
-    column = np.arange(width) + (width - length)[:, None]
-    rows = np.where(column < width, phrases[phrase[:, None], np.minimum(column, width - 1)], 0).astype(np.uint8)
-    order, new = _sorted(np.concatenate([rows, length[:, None].astype(np.uint8)], axis=1))
+    rows = _cut_out(phrases, phrase, width - length, length)
+    order, new = _sorted(rows)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     return phrase[order], length[order], place, begin[:-1] - least
@@ -399,9 +409,7 @@ def parse_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row, start = np.nonzero(cut)
     last = np.append(row[1:] != row[:-1], True)[: len(row)]
     end = np.where(last, width, np.minimum(np.append(start[1:], 0)[: len(row)] + GRAM, width))
-    column = start[:, None] + np.arange(width)
-    phrases = np.where(column < end[:, None], rows[row[:, None], np.minimum(column, width - 1)], 0).astype(np.uint8)
-    phrases = np.concatenate([phrases, (end - start)[:, None].astype(np.uint8)], axis=1)
+    phrases = _cut_out(rows, row, start, end - start)
     order, new = _sorted(phrases)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new)
