@@ -53,7 +53,7 @@ from .common import NO_ID, PACKED, by_bucket, components, dealt, dropped, gather
 DOC, CLASS, CELL, EDGE, STAR, CLASH = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 GROUPS, FANOUT = 64, 16
 LONG = (800, 3_200, 12_800)  # sizes from each of which sets have four times the groups: more shingles need finer counts
-LARGE = 400_000  # shingles in one task's cluster or block
+LARGE = 3_000_000  # shingles in one task's cluster or block
 CELL_MOST = 100_000  # members of a cell that one task indexes
 PIVOTS, ROUNDS = 256, 2  # pivots of each large cluster in a round; rounds before the last
 STRETCH, SHARE, FREQUENT = 1_000_000, 0.002, 100_000  # shingles of a stretch, of its documents that make a shingle frequent, frequent shingles kept
