@@ -11,9 +11,10 @@ share its result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """task, whose worker gives freed memory back to the system when a partition ends: workers outlive their tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries don't
+        if trim:
+            trim(0)
+
+    return run
+
+
 def part_id() -> int:
     return TaskContext.get().partitionId()
 

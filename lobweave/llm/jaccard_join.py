@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, PACKED, by_bucket, components, dealt, dropped, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
+from .common import NO_ID, PACKED, by_bucket, components, dealt, dropped, gathered, joined_blobs, keyed, lean, mixed, packed, part_id, partitions, row_keys, saved
 
 DOC, CLASS, CELL, EDGE, STAR, CLASH = 0, 1, 2, 3, 4, 5  # kinds of packed rows
 GROUPS, FANOUT = 64, 16
@@ -440,7 +440,7 @@ def _unpacked(table: DataFrame, kind: int, names: str, points: bool = False) ->
                     cols.append(pa.array([blob[k : k + width] for k in range(0, len(blob), width)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=fields)
 
-    return table.where(f"kind = {kind}").select(*"abcdef"[: len(fields)]).mapInArrow(unpack, ", ".join(map(" ".join, zip(fields, types))))
+    return table.where(f"kind = {kind}").select(*"abcdef"[: len(fields)]).mapInArrow(lean(unpack), ", ".join(map(" ".join, zip(fields, types))))
 
 
 def _cells(table: DataFrame) -> DataFrame:
@@ -461,8 +461,8 @@ def _cells(table: DataFrame) -> DataFrame:
             cells = [pa.array(np.repeat(batch[c].to_numpy(), width)) for c in ("cell1", "cell2")]
             yield pa.RecordBatch.from_arrays([*cells, pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["cell1", "cell2", "sid"])
 
-    found = table.where(f"kind = {CELL}").select(*"abc").mapInArrow(cells, "cell1 long, cell2 long, sids binary")
-    return found.groupBy("cell1", "cell2").agg(F.max("sids").alias("sids")).mapInArrow(members, "cell1 long, cell2 long, sid long")
+    found = table.where(f"kind = {CELL}").select(*"abc").mapInArrow(lean(cells), "cell1 long, cell2 long, sids binary")
+    return found.groupBy("cell1", "cell2").agg(F.max("sids").alias("sids")).mapInArrow(lean(members), "cell1 long, cell2 long, sid long")
 
 
 def _whole_clusters(words: int, num: int, den: int):
@@ -548,12 +548,12 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     texts = row_keys(docs)
     n = partitions(texts)
     buckets = n
-    often = texts.select("text").mapInArrow(_frequent(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = texts.select("text").mapInArrow(lean(_frequent(words)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
     sent, apart = spark.sparkContext.broadcast(often), frozenset()
     while True:
-        routed = by_bucket(texts.mapInArrow(_route(words, num, den, buckets, sent, apart, bits), PACKED), n)
-        table = saved(routed.mapInArrow(_meet(num, den, cell_most), PACKED), "jaccard-cells")
+        routed = by_bucket(texts.mapInArrow(lean(_route(words, num, den, buckets, sent, apart, bits)), PACKED), n)
+        table = saved(routed.mapInArrow(lean(_meet(num, den, cell_most)), PACKED), "jaccard-cells")
         clashes = {r.sid for r in _unpacked(table, CLASH, "sid").distinct().collect()}  # of N sets about N * N / 2 ** 65
         if not clashes:
             break
@@ -562,7 +562,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     points = _unpacked(table, CLASS, "sid r1 r2 n point", points=True)
     reps = points.drop("point")
     members = _cells(table).join(points.select("sid", "n", "point").hint("merge"), "sid")
-    bounded = members.select("cell1", "cell2", "sid", "n", "point").repartition(n, "cell1").mapInArrow(_bounded(num, den), "a long, b long")
+    bounded = members.select("cell1", "cell2", "sid", "n", "point").repartition(n, "cell1").mapInArrow(lean(_bounded(num, den)), "a long, b long")
     clusters = components(bounded.union(_unpacked(table, EDGE, "a b")), "jaccard-clusters")
     suspects = clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(reps, "sid")
     weights = suspects.groupBy("cluster").agg(F.sum("n").alias("weight"))
@@ -570,7 +570,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     found = suspects.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "sid", "cluster", "weight", "n")
     wanted = texts.join(found.hint("merge"), ["k1", "k2"])  # grows with the input, so it isn't sent to all
     fits = wanted.where(F.col("weight") <= large).select("cluster", "sid", "text").repartition(n, "cluster").sortWithinPartitions("cluster")
-    links = fits.mapInArrow(_whole_clusters(words, num, den), "a long, b long")
+    links = fits.mapInArrow(lean(_whole_clusters(words, num, den)), "a long, b long")
     if suspects.where(F.col("weight") > large).limit(1).count():
         links = links.union(_large_links(wanted.where(F.col("weight") > large), words, num, den, pivots, large, rounds))
     labels = components(links, "jaccard-links")

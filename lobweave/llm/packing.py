@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import part_id
+from .common import lean, part_id
 
 LENGTH, END = 2048, 1
 UNIT, CUT = 128, 16  # tokens of a level; squares that a cut counts as
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
         if cols[0]:
             yield batch()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(lean(run), PIECES)
 
 
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

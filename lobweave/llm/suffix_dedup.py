@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, mixed, packed, part_id, partitions, row_keys, saved
+from .common import PACKED, by_bucket, dealt, gathered, joined_blobs, keyed, lean, mixed, packed, part_id, partitions, row_keys, saved
 
 SIZE, REACH, GRAM, MODULUS = 100, 50, 8, 48
 SLICE, STRETCH = 10_000, 1 << 20  # anchors worked on at once; positions hashed at once
@@ -511,16 +511,16 @@ def spans(docs: DataFrame, size: int = SIZE, reach: int = REACH, hot_least: int
     texts = row_keys(docs)
     n = partitions(texts)
     buckets = n
-    parsed = by_bucket(texts.mapInArrow(_parse(size, reach, buckets), PACKED), n)
-    met = parsed.mapInArrow(_meet(hot_least), PACKED)
-    candidates = saved(met.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(_to_docs, CANDIDATES).groupBy("hot", "k1", "k2").agg(F.min("whole").alias("whole"), F.max("ordinals").alias("ordinals")), "suffix-candidates")
+    parsed = by_bucket(texts.mapInArrow(lean(_parse(size, reach, buckets)), PACKED), n)
+    met = parsed.mapInArrow(lean(_meet(hot_least)), PACKED)
+    candidates = saved(met.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(lean(_to_docs), CANDIDATES).groupBy("hot", "k1", "k2").agg(F.min("whole").alias("whole"), F.max("ordinals").alias("ordinals")), "suffix-candidates")
     keys, candidates = candidates.where("hot"), candidates.where("not hot").drop("hot")
     least = max(hot_least, int(hot_share * texts.select("k1").count()))  # so there are at most anchors of an average text / share of them
     hot = keys.where(F.col("k2") >= least).orderBy(F.desc("k2"), "k1").limit(HOT_KEYS).select("k1").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.k1 for r in hot], np.int64).view(np.uint64)))
     wanted = candidates.where("not whole")
-    met = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "ordinals").mapInArrow(_contexts(size, reach, buckets, hot), PACKED)
-    found = by_bucket(met, n).mapInArrow(_resolve(reach), SPANS)
+    met = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "ordinals").mapInArrow(lean(_contexts(size, reach, buckets, hot)), PACKED)
+    found = by_bucket(met, n).mapInArrow(lean(_resolve(reach)), SPANS)
     windows = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
     return windows.select("k1", "k2", F.lit(False).alias("whole"), "windows").union(candidates.where("whole").select("k1", "k2", "whole", F.array().cast("array<struct<first:int,last:int>>")))
 
@@ -556,7 +556,7 @@ def removed(docs: DataFrame, size: int = SIZE, reach: int = REACH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string())], names=["row", "spans", "kept", "new"])
 
     rows = keyed(docs).join(spans(docs, size, reach), ["k1", "k2"], "left")
-    return rows.select("row", F.col("row.text").alias("text"), "whole", "windows").mapInArrow(cut, schema)
+    return rows.select("row", F.col("row.text").alias("text"), "whole", "windows").mapInArrow(lean(cut), schema)
 
 
 def dedup(docs: DataFrame, size: int = SIZE, reach: int = REACH) -> DataFrame:

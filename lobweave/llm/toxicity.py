@@ -40,16 +40,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import lean, saved
 
 SLOTS, GRADES, FIT_ROWS = 1 << 18, 4, 6_000
 STEPS, RATE, RIDGE, LASSO = 300, 0.5, 1e-5, 1e-3
 FALSE_ALARM = 3  # misses that a false alarm counts for when the cut is set
+KNOWN = 100_000  # words that a worker remembers
 STEMS = (4, 5, 6)  # characters at a word's start that are features of their own
 _STRIP = b".,;:!?\"'()[]{}<>|*_-#$%&@~^+=/\\`"
 
 
-@lru_cache(200_000)
+@lru_cache(KNOWN // 4)
 def _slots(word: bytes) -> tuple[int, ...]:
     """The slot of a word and those of its stems."""
     text = word.strip(_STRIP).decode(errors="replace")
@@ -77,13 +78,17 @@ class Model:
     def total(self, text: str) -> float:
         """The weighted sum of a text's features, by way of the few words that have a weight."""
         known, words = self.__dict__.setdefault("_known", {}), text.encode().lower().split()
-        if len(known) > 400_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = tuple(x for x in _slots(w) if self.weights[x])
+            known[w] = tuple(x for x in _slots.__wrapped__(w) if self.weights[x])
         n = Counter(chain.from_iterable(map(known.__getitem__, words)))
         return float(sum(self.weights[x] * (1 + np.log(k)) for x, k in sorted(n.items())))
 
+    def forget(self) -> None:
+        """Drop the words that totals have met."""
+        self.__dict__.pop("_known", None)
+
 
 class _Rows:
     """Sparse rows for the fit."""
@@ -188,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | N
     chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = saved(chosen, "toxicity-sample")  # bounded, so it may be sent to all
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sample.select(F.xxhash64("doc_id", "text").alias("h"), "grade", "text").mapInArrow(_featured, "h long, grade int, slots binary, values binary").orderBy("h").limit(rows).toArrow()
+    got = sample.select(F.xxhash64("doc_id", "text").alias("h"), "grade", "text").mapInArrow(lean(_featured), "h long, grade int, slots binary, values binary").orderBy("h").limit(rows).toArrow()
     grade = np.maximum(got["grade"].to_numpy(), 0).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     toxic = (grade > 0).astype(np.int64)
     fitted = toxic[np.arange(len(toxic)) % 5 > 0]
@@ -217,8 +222,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 share = -np.diff(np.concatenate([np.ones((len(texts), 1)), over, np.zeros((len(texts), 1))], axis=1), axis=1)
                 grade, toxic = share.argmax(axis=1).astype(np.int32), severity >= model.cut
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(severity), pa.array(grade), pa.array(toxic)], names=["row", "severity", "grade", "toxic"])
+        if model is not None:
+            model.forget()
 
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text")).mapInArrow(lean(run), schema)
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
