@@ -162,8 +162,11 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     Each round takes the least label of the neighbours and then that label's own
     label; both tables live in the shared folder. Hubs are met by Spark's split
     of skewed joins and by partial aggregation. Empty edges give no rows.
+    Both directions come from one pass: edges that depend on the order of rows
+    may be others in a second one, and an edge in one direction alone joins nothing.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    both = saved(both.where("a <> b").distinct(), f"{name}-edges")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))

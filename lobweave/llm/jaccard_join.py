@@ -569,7 +569,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, larg
     suspects = saved(suspects.join(weights, "cluster"), "jaccard-suspects")
     found = suspects.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "sid", "cluster", "weight", "n")
     wanted = texts.join(found.hint("merge"), ["k1", "k2"])  # grows with the input, so it isn't sent to all
-    fits = wanted.where(F.col("weight") <= large).select("cluster", "sid", "text").repartition(n, "cluster").sortWithinPartitions("cluster")
+    fits = wanted.where(F.col("weight") <= large).select("cluster", "sid", "text").repartition(n, "cluster").sortWithinPartitions("cluster", "sid")  # by sid too: a task that is run again gives the same links
     links = fits.mapInArrow(lean(_whole_clusters(words, num, den)), "a long, b long")
     if suspects.where(F.col("weight") > large).limit(1).count():
         links = links.union(_large_links(wanted.where(F.col("weight") > large), words, num, den, pivots, large, rounds))

@@ -90,6 +90,22 @@ def test_near_against_brute_force(spark, k, num, split):
     assert got == near_components(ROWS, k, num, 100)
 
 
+def test_components_of_edges_that_turn_when_read_again(spark):
+    """Which way an edge points may depend on the order of rows, which a shuffle leaves open."""
+    import pyarrow as pa
+
+    from lobweave.llm.common import components
+
+    def turned(batches):
+        rng = random.Random()  # another one each time
+        for batch in batches:
+            edges = [rng.sample([2 * i, 2 * i + 1], 2) for i in batch["id"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    got = components(spark.range(200).mapInArrow(turned, "a long, b long"), "turned").collect()
+    assert sorted(tuple(r) for r in got) == [(i, i // 2 * 2) for i in range(400)]
+
+
 @pytest.mark.parametrize("share,frequent", [(0.0, 100_000), (0.3, 5)])
 def test_near_whatever_is_frequent(spark, monkeypatch, share, frequent):
     """Which shingles count as frequent moves work and no result: the order of the prefixes is another one each time."""
