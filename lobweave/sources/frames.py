@@ -112,7 +112,7 @@ def parse_snapshots(raw: DataFrame, column: str = "raw", strict: bool = False) -
 def to_frames(events: DataFrame) -> DataFrame:
     """Trades and updates as enveloped JSON frames in column raw, with all other columns of events kept: the inverse of ``parse_stream``."""
     text = lambda x: F.transform(x, lambda l: F.array(l["price"].cast("string"), l["quantity"].cast("string")))
-    ms = lambda c: (F.col(c) / 1_000_000).cast("bigint")
+    ms = lambda c: F.expr(f"{c} div 1000000")
     depth = F.to_json(F.struct(F.lit("depthUpdate").alias("e"), ms("timestamp_ns").alias("E"), F.col("symbol").alias("s"), F.col("first_seq").alias("U"), F.col("last_seq").alias("u"), text(F.col("bids")).alias("b"), text(F.col("asks")).alias("a")))
     trade = F.to_json(F.struct(F.lit("trade").alias("e"), ms("timestamp_ns").alias("E"), F.col("symbol").alias("s"), F.col("trade_id").alias("t"), F.col("price").cast("string").alias("p"), F.col("quantity").cast("string").alias("q"), ms("timestamp_ns").alias("T"), (F.col("aggressor") == "sell").alias("m")))
     data = F.when(F.col("type") == "trade", trade).otherwise(depth)

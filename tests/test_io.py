@@ -61,6 +61,14 @@ def test_frames_round_trip(spark):
     assert sorted(back.select(keep).collect(), key=key) == sorted(rows.select(keep).collect(), key=key)
 
 
+def test_frames_keep_every_millisecond(spark):
+    """Nanoseconds have more digits than a double: these milliseconds came out as the ones before."""
+    clocks = [1704154120618000000, 1704546846418000000, 1705931300226000000, 1705931300226999999]
+    rows = frame(spark, [r | {"timestamp_ns": t} for r, t in zip((r for r in random_events(5, 2) if r["type"] != "snapshot"), clocks)])
+    raw_ = frames.to_frames(rows).select("raw", "received_ns")
+    assert sorted(r.timestamp_ns for r in frames.parse_stream(raw_).collect()) == [t // 10**6 * 10**6 for t in clocks]
+
+
 def day_rows():
     rows = [r | {"timestamp_ns": T0 + r["timestamp_ns"], "received_ns": T0 + r["received_ns"]} for r in random_events(9, 1, 60)]
     return [r | {"symbol": "BTCUSDT"} for r in rows]
